@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, url_filter
+from . import audio_features, decontaminate, line_dedup, mixing, secret_scan, sharding, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,27 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=8)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, source, lines[i] AS line, trim(lines[i], ' ') AS bare
+  FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), common AS (
+  SELECT bare FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT coalesce('s' || source, 'none')) >= 8
+)
+SELECT doc_id, count(*) AS n_lines, count(common.bare) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.bare IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN common ON l.bare = common.bare GROUP BY doc_id
+"""
+
+
 OP4_SQL = (
     r"""
 WITH p AS (
@@ -64,6 +85,27 @@ FROM q LEFT JOIN (SELECT * FROM m WHERE kind = 'rule') r USING (page_id) LEFT JO
 )
 
 
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio_features.audio_features(table(spark, sf_dir, "documents"))
+    feature = F.concat_ws(":", "n_frames", F.size("segments"), F.sha2("tensors", 256))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_versions(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE_RULES]))
+    counts = [F.size(F.filter("spans", _of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE_RULES]
+    return found.select("doc_id", *counts, F.sha2(named_spans(base), 256).alias("base_sha256"), named_spans(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
+def named_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -96,5 +138,14 @@ SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN target >
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN l ON d.source IS NOT DISTINCT FROM l.source
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op4_url_filter": op4_url_filter, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
-ORACLES = {"op1_decontaminate": OP1_SQL, "op4_url_filter": OP4_SQL, "op10_mixing": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_audio_features": op5_audio_features,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_sharding": op8_sharding,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op10_mixing": OP10_SQL}
