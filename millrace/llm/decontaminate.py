@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Words, class_table, mixed, run_hash, steps, text_bytes
+from .bytetext import Words, class_table, mixed, powers, run_hash, steps, text_bytes
+from .common import written
 
 #: Word characters: 0-9, a-z (A-Z are lower-cased before) and everything beyond ASCII.
 WORD = class_table([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
@@ -137,75 +138,93 @@ def rarity(docs: DataFrame, text_col: str, index: Index, width: int) -> dict[int
     return {r.shingle & 0xFFFFFFFFFFFFFFFF: r.n for r in rows}
 
 
-def find_block(docs: DataFrame, id_col: str, text_col: str, index: Index, width: int) -> DataFrame:
-    """Hits of one block: a row per document with its words, hit words and items, and a checksum of its text."""
-    counts = rarity(docs, text_col, index, width)
-    own = index.shingles(width)
-    prefix = []  # (width, shingle, window, words before it)
+def prefix_join(counts: dict[int, int], index: Index, width: int) -> dict[int, tuple]:
+    """For each width: the prefix shingles, and of each the windows it stands for and how many words they have before it."""
+    own, rows = index.shingles(width), []
     for i, n in enumerate(index.sizes):
         at = min(range(len(own[i])), key=lambda k: (counts.get(int(own[i][k]), 0), k))
-        prefix.append((min(width, n), own[i][at], i, at))
+        rows.append((min(width, n), own[i][at], i, at))
     joins = {}
     for w in index.widths(width):
-        rows = sorted((p for p in prefix if p[0] == w), key=lambda p: (p[1], p[2]))
-        keys = np.array([p[1] for p in rows], dtype=np.uint64)
+        mine = sorted((p[1:] for p in rows if p[0] == w), key=lambda p: (p[0], p[1]))
+        keys = np.array([p[0] for p in mine], dtype=np.uint64)
         unique, heads = np.unique(keys, return_index=True)
-        joins[w] = (unique, np.append(heads, len(keys)), np.array([p[2] for p in rows]), np.array([p[3] for p in rows]))
-    sizes = np.array(index.sizes)
-    whole = np.array([run_hash(h, len(h))[0] for h in index.hashes], dtype=np.uint64)
-    texts, items = index.texts, index.items
+        joins[w] = (unique, np.append(heads, len(keys)), np.array([p[1] for p in mine]), np.array([p[2] for p in mine]))
+    return joins
+
+
+class Finder:
+    """Finds a block's windows in runs of texts."""
+
+    def __init__(self, index: Index, joins: dict[int, tuple]):
+        self.index, self.joins = index, joins
+        self.sizes = np.array(index.sizes, dtype=np.int64)
+        self.whole = np.array([run_hash(h, len(h))[0] for h in index.hashes], dtype=np.uint64)
+        self.probes = {w: Probe(j[0]) for w, j in joins.items()}
+
+    def find(self, words: Words) -> tuple[np.ndarray, list[set[int]]]:
+        """How many windows begin less end at each word, and the windows of each text."""
+        n_docs, sizes = len(words.first) - 1, self.sizes
+        doc_of = np.repeat(np.arange(n_docs), np.diff(words.first))
+        delta = np.zeros(len(words.begin) + 1, dtype=np.int64)
+        found: list[set[int]] = [set() for _ in range(n_docs)]
+        for w, (_, heads, windows, before) in self.joins.items():
+            at, key = self.probes[w].find(words.runs(w))
+            # The join: each place of a prefix shingle with each window that it stands for.
+            many = heads[key + 1] - heads[key]
+            place = np.repeat(at, many)
+            row = np.repeat(heads[key], many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+            window, start = windows[row], place - before[row]
+            doc = doc_of[place]
+            length = words.first[doc + 1] - words.first[doc]
+            ok = (sizes[window] <= length) & (start >= words.first[doc]) & (start + sizes[window] <= words.first[doc + 1])
+            window, start, doc = window[ok], start[ok], doc[ok]
+            for n in np.unique(sizes[window]):
+                mine = np.flatnonzero(sizes[window] == n)
+                weight, total = powers(int(n) + 1)[1:], np.zeros(len(mine), dtype=np.uint64)
+                for k in range(int(n)):
+                    total += words.hash[start[mine] + k] * weight[k]
+                for j in mine[mixed(total) == self.whole[window[mine]]]:
+                    if words.bytes_of(start[j], int(n)) == self.index.texts[window[j]]:
+                        delta[start[j]] += 1
+                        delta[start[j] + n] -= 1
+                        found[doc[j]].add(int(window[j]))
+        return delta, found
+
+
+def find_block(docs: DataFrame, id_col: str, text_col: str, index: Index, width: int) -> DataFrame:
+    """Hits of one block: a row per document with its words, hit words and items, and a checksum of its text."""
+    joins = prefix_join(rarity(docs, text_col, index, width), index, width)
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes = {w: Probe(j[0]) for w, j in joins.items()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(index, joins)
         for batch, first, last, words in steps_of(batches, 2):
-            n_docs = last - first
-            doc_of = np.repeat(np.arange(n_docs), np.diff(words.first))
-            delta = np.zeros(len(words.begin) + 1, dtype=np.int64)
-            found: list[set[int]] = [set() for _ in range(n_docs)]
-            for w, (_, heads, windows, before) in joins.items():
-                at, key = probes[w].find(words.runs(w))
-                if not len(at):
-                    continue
-                # The join: each place of a prefix shingle with each window that it stands for.
-                many = heads[key + 1] - heads[key]
-                place = np.repeat(at, many)
-                row = np.repeat(heads[key], many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
-                window, start = windows[row], place - before[row]
-                doc = doc_of[place]
-                length = words.first[doc + 1] - words.first[doc]
-                ok = (sizes[window] <= length) & (start >= words.first[doc]) & (start + sizes[window] <= words.first[doc + 1])
-                window, start, doc = window[ok], start[ok], doc[ok]
-                for n in np.unique(sizes[window]):
-                    mine = np.flatnonzero(sizes[window] == n)
-                    total = np.zeros(len(mine), dtype=np.uint64)
-                    weight = np.uint64(1)
-                    for k in range(int(n)):
-                        weight = np.uint64((int(weight) * POWER) & MASK)
-                        total += words.hash[start[mine] + k] * weight
-                    for j in mine[mixed(total) == whole[window[mine]]]:
-                        if words.bytes_of(start[j], int(n)) == texts[window[j]]:
-                            delta[start[j]] += 1
-                            delta[start[j] + n] -= 1
-                            found[doc[j]].add(int(window[j]))
+            delta, found = finder.find(words)
             hit = np.concatenate(([0], np.cumsum(np.cumsum(delta[:-1]) > 0)))
-            names = [sorted({x for i in f for x in items[i]}) for f in found]
-            spans = [_spans(delta[words.first[d] : words.first[d + 1]]) if f else [] for d, f in enumerate(found)]
+            names = [sorted({x for i in f for x in index.items[i]}) for f in found]
+            # Windows don't leave their text, so a text's own sums start from nothing.
+            spans = [np.flatnonzero(np.cumsum(delta[words.first[d] : words.first[d + 1]]) > 0).tolist() if f else [] for d, f in enumerate(found)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, n_docs), batch.column(1).slice(first, n_docs), pa.array(np.diff(words.first), pa.int64()), pa.array(hit[words.first[1:]] - hit[words.first[:-1]], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))],
+                [batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(np.diff(words.first), pa.int64()), pa.array(hit[words.first[1:]] - hit[words.first[:-1]], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))],
                 names=[id_col, "text_key", "n_words", "n_hit", "items", "hit_words"],
             )
 
-    return docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col).mapInArrow(find, f"`{id_col}` {id_type}, text_key long, n_words long, n_hit long, items array<string>, hit_words array<long>")
+    return docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col).mapInArrow(run, f"`{id_col}` {id_type}, text_key long, n_words long, n_hit long, items array<string>, hit_words array<long>")
 
 
-def _spans(delta: np.ndarray) -> list[int]:
-    """Word numbers that are hit. delta: how many windows begin less end at each word of a text; windows don't leave their text."""
-    return np.flatnonzero(np.cumsum(delta) > 0).tolist()
+def drop_block(docs: DataFrame, text_col: str, index: Index, width: int) -> DataFrame:
+    """docs without the rows in which a window of the block occurs."""
+    joins = prefix_join(rarity(docs, text_col, index, width), index, width)
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(index, joins)
+        for batch, first, last, words in steps_of(batches, at):
+            clean = pa.array([not f for f in finder.find(words)[1]], pa.bool_())
+            yield batch.slice(first, last - first).filter(clean)
 
-MASK = (1 << 64) - 1
-POWER = 0x9E3779B97F4A7C15 | 1
+    return docs.mapInArrow(run, docs.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK_WINDOWS) -> DataFrame:
@@ -233,3 +252,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     merged = union.groupBy(id_col, "text_key", "n_words").agg(*names, (F.count("*") / len(found)).cast("int").alias("times"))
     merged = merged.withColumn("times", F.explode(F.array_repeat("times", F.col("times"))))
     return merged.select(id_col, "n_words", F.size("hit_words").cast("long").alias("n_hit"), "items", "hit_words")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs, with all columns, without the rows in which a benchmark window occurs; texts are not shuffled. Nulls and empty tables as for decontaminate."""
+    for n, index in enumerate(window_blocks(benchmark, item_col, item_text_col, window, block)):
+        docs = drop_block(written(docs, "decontaminated") if n else docs, text_col, index, shingle)
+    return docs

@@ -54,26 +54,21 @@ def target_weights(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """How often the mix takes each document.
+def places(id_col: str) -> tuple[Column, Column]:
+    """Bucket and sub-bucket of a record."""
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.substring(digest, 1, DIGITS), F.substring(digest, DIGITS + 1, DIGITS)
 
-    Returns one row per input row: id_col, source_col, size, source_size,
-    target (its source's), copies, taken (copies * size). Every source takes
-    each document floor(target / source_size) times, and documents of low
-    digest once more, up to the sub-bucket that brings it nearest its target.
 
-    Null texts and null ids are rows like others (size 0; all null ids share
-    one place), a null source is a source, and equal rows get equal results.
-    Documents without words are taken as often as any of their place. Extra
-    columns are ignored. An empty table gives an empty result.
+def thresholds(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """What each source takes: source, source_size, target, base (times that every document is taken), edge and last (bucket and sub-bucket up to which documents are taken once more).
+
+    rows: source, size, b1, b2. The result has a row per source, is written
+    and so of known size: Spark broadcasts it only below its threshold.
     """
-    place = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.substring(place, 1, DIGITS).alias("b1"), F.substring(place, DIGITS + 1, DIGITS).alias("b2"))
-    rows = written(rows, "mix-sizes")
     coarse = written(rows.groupBy("source", "b1").agg(F.sum("size").alias("size")), "mix-histogram")
     budgets = target_weights(coarse, weights, share, most)
-    safe = F.when(F.col("source_size") > 0, F.col("source_size"))
-    base = F.coalesce(F.floor(F.col("target") / safe), F.lit(0))
+    base = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
     budgets = budgets.withColumn("base", base.cast("long")).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
     budgets = written(budgets, "mix-budgets")
 
@@ -81,20 +76,57 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     in_order = Window.partitionBy("source").orderBy("b1").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(in_order), F.lit(0))
     steps = coarse.withColumn("before", before).alias("c").join(budgets.alias("g"), F.expr("c.source <=> g.source"))
-    edge = steps.where("before <= rest AND before + c.size > rest").select("c.source", "c.b1", "before", "rest", "base", "source_size", "target")
-    edge = written(edge, "mix-edges")  # with a known size, at most a row per source, so that Spark may broadcast it if it is small
-    # Where the sums never pass the budget there is no edge, and every document is within it (rest 0 has one at its start).
-    plan = budgets.alias("g").join(edge.alias("e"), F.expr("g.source <=> e.source"), "left").select("g.source", "g.source_size", "g.target", "g.base", "g.rest", F.col("e.b1").alias("edge"), F.col("e.before").alias("before"))
+    edge = steps.where("before <= rest AND before + c.size > rest").select("c.source", "c.b1", "before", "rest")
+    edge = written(edge, "mix-edges")
 
+    # Only that bucket is summed by sub-bucket; the last one taken is the last whose middle is within the budget.
     fine = rows.alias("r").join(edge.alias("e"), F.expr("r.source <=> e.source AND r.b1 = e.b1")).groupBy("e.source", "r.b2").agg(F.sum("r.size").alias("size"), F.first("e.before").alias("start"), F.first("e.rest").alias("rest"))
     inner = Window.partitionBy("source").orderBy("b2").rowsBetween(Window.unboundedPreceding, -1)
     fine = fine.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    # The last sub-bucket taken is the last whose middle is within the budget.
     last = fine.where("before + size / 2 <= rest").groupBy("source").agg(F.max("b2").alias("last"))
+    plan = budgets.alias("g").join(edge.alias("e"), F.expr("g.source <=> e.source"), "left").select("g.source", "source_size", "target", "base", F.col("b1").alias("edge"))
     plan = plan.alias("p").join(last.alias("l"), F.expr("p.source <=> l.source"), "left").select("p.source", "source_size", "target", "base", "edge", "last")
-    plan = written(plan, "mix-plan")
+    return written(plan, "mix-plan")
+
+
+def copies(base: str, target: str, source_size: str, edge: str, last: str, b1: Column, b2: Column) -> Column:
+    """How often a document of the place (b1, b2) is taken under its source's thresholds."""
+    within = F.col(edge).isNull() | (b1 < F.col(edge)) | ((b1 == F.col(edge)) & (b2 <= F.coalesce(F.col(last), F.lit(""))))
+    return F.col(base) + (within & (F.col(target) > F.col(base) * F.col(source_size))).cast("long")
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    b1, b2 = places(id_col)
+    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), b1.alias("b1"), b2.alias("b2")), "mix-sizes")
+
 
-    once_more = F.expr("edge IS NULL OR b1 < edge OR (b1 = edge AND b2 <= coalesce(last, ''))") & F.expr("target > base * source_size")
-    out = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"), "left")
-    out = out.select(F.col("r.id").alias(id_col), F.col("r.source").alias(source_col), "r.size", "p.source_size", "p.target", (F.col("base") + once_more.cast("long")).alias("copies"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """How often the mix takes each document.
+
+    Returns one row per input row: id_col, source_col, size, source_size,
+    target (its source's), copies, taken (copies * size). Every source takes
+    each document floor(target / source_size) times, and documents of low
+    digest once more, up to the sub-bucket that brings it nearest its target.
+
+    Null texts and null ids are rows like others (size 0; all null ids share
+    one place), a null source is a source, and equal rows get equal results.
+    Documents without words are taken as often as any of their place, or not
+    at all if their source has no words. Extra columns are ignored. An empty
+    table gives an empty result.
+    """
+    rows = sized(docs, id_col, text_col, source_col)
+    plan = thresholds(rows, weights, share, most)
+    met = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"), "left")
+    times = copies("p.base", "p.target", "p.source_size", "p.edge", "p.last", F.col("r.b1"), F.col("r.b2"))
+    out = met.select(F.col("r.id").alias(id_col), F.col("r.source").alias(source_col), "r.size", "p.source_size", "p.target", times.alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: docs with every row as often as the mix takes it, with the columns of docs. Texts are not shuffled."""
+    plan = thresholds(sized(docs, id_col, text_col, source_col), weights, share, most)
+    plan = plan.select(*[F.col(c).alias(f"__mr_{c}") for c in plan.columns])
+    b1, b2 = places(id_col)
+    met = docs.join(plan, docs[source_col].eqNullSafe(F.col("__mr_source")))
+    times = copies("__mr_base", "__mr_target", "__mr_source_size", "__mr_edge", "__mr_last", b1, b2)
+    return met.withColumn("__mr_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 The network reads windows of words. A word comes in twice: as itself, if the
-training rows have it often enough, and as the mean of its character trigrams.
-Windows overlap and cover the whole text; a text is as toxic as its most toxic
+training rows have it often enough, and by its characters: the mean of its
+trigrams and the mean of its beginnings of 4 to 7 characters. Windows overlap and cover the whole text; a text is as toxic as its most toxic
 window. Labels are known for texts only, so training takes each text's most
 toxic window so far and, as a start, the one whose words lean most to toxic
 texts.
@@ -27,16 +27,19 @@ from .bytetext import mixed
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of a window, and from one window to the next.
-WINDOW, STRIDE = 32, 16
-#: Sizes: a word's own vector, its characters' vector, a direction's state, attention, and trigram buckets.
-OWN, CHARS, STATE, ATTEND, BUCKETS = 8, 8, 12, 8, 8192
+WINDOW, STRIDE = 32, 24
+#: Sizes: a word's own vector, that of its trigrams and of its beginnings each, a direction's state, attention, and buckets of character runs.
+OWN, CHARS, STATE, ATTEND, BUCKETS = 8, 8, 12, 8, 1 << 15
+#: Lengths of the beginnings.
+HEADS = (4, 5, 6, 7)
 #: Training reads at most so many labelled texts of each class, those of the smallest digests of their ids.
 SAMPLE = 2500
 #: Words with vectors of their own: in at least 3 training texts, and the most frequent of these.
 LEAST_TEXTS, VOCABULARY = 3, 30_000
 #: Windows of a text that training looks at, evenly spread over it.
 TRAINED_WINDOWS = 64
-EPOCHS, BATCH, RATE = 14, 256, 0.01
+#: Passes, windows of a batch (fewer when there are few texts, for enough steps), and the rate.
+EPOCHS, BATCH, RATE = 10, (32, 256), 0.01
 #: Windows scored at a time, and words whose inputs a scorer keeps.
 SCORED, KEPT = 2048, 150_000
 #: Folds: rows of fold 0 are held out.
@@ -56,6 +59,11 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed(codes[inside]) % np.uint64(BUCKETS)).astype(np.int64), np.cumsum(lengths - 2) - (lengths - 2)
 
 
+def heads(words: list[str]) -> np.ndarray:
+    """Buckets of each word's beginnings; of a shorter word, its whole."""
+    return np.array([[zlib.crc32(w[:n].encode()) % BUCKETS for n in HEADS] for w in words], dtype=np.int64).reshape(-1, len(HEADS))
+
+
 def window_starts(n: int) -> range:
     """Where windows begin; the last one reaches the end."""
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
@@ -69,21 +77,21 @@ class Network:
     vocabulary: dict[str, int]
 
     @classmethod
-    def new(cls, vocabulary: dict[str, int], lean: np.ndarray, seed: int = 7) -> Network:
+    def new(cls, vocabulary: dict[str, int], lean: np.ndarray, head_lean: np.ndarray, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
-        size, wide = OWN + CHARS, 2 * STATE
+        size, wide = OWN + 2 * CHARS, 2 * STATE
         draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-        p = {"own": draw(len(vocabulary) + 1, OWN, scale=0.05), "chars": draw(BUCKETS, CHARS, scale=0.05)}
-        p["own"][:, 0] = lean
+        p = {"own": draw(len(vocabulary) + 1, OWN, scale=0.05), "chars": draw(BUCKETS, CHARS, scale=0.05), "heads": draw(BUCKETS, CHARS, scale=0.05)}
+        p["own"][:, 0], p["heads"][:, 0] = lean, head_lean
         for d in "fb":
             p |= {f"W{d}": draw(size, 3 * STATE, scale=size**-0.5), f"U{d}": draw(STATE, 3 * STATE, scale=STATE**-0.5), f"b{d}": np.zeros(3 * STATE, np.float32)}
         p |= {"A": draw(wide, ATTEND, scale=wide**-0.5), "v": draw(ATTEND, scale=0.3), "u": draw(wide, scale=wide**-0.5), "c": np.full(1, -1.0, np.float32)}
         return cls(p, vocabulary)
 
-    def inputs(self, own: np.ndarray, tri: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def inputs(self, own: np.ndarray, tri: np.ndarray, starts: np.ndarray, begin: np.ndarray) -> np.ndarray:
         counts = np.diff(np.append(starts, len(tri)))
         chars = np.add.reduceat(self.p["chars"][tri], starts, axis=0) / counts[:, None]
-        return np.concatenate([self.p["own"][own], chars.astype(np.float32)], axis=1)
+        return np.concatenate([self.p["own"][own], chars.astype(np.float32), self.p["heads"][begin].mean(axis=1)], axis=1)
 
     def direction(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States over time of projected inputs x (time, windows, 3 * STATE). mask: 1 where there is a word; elsewhere the state stays."""
@@ -115,7 +123,7 @@ class Network:
         return pooled @ self.p["u"] + self.p["c"][0], (h, a, alpha, pooled, kf, kb)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, delta: np.ndarray, kept) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients by name, and of the inputs x (time, windows, OWN + CHARS). delta: of the logits."""
+        """Gradients by name, and of the inputs x (time, windows, OWN + 2 * CHARS). delta: of the logits."""
         h, a, alpha, pooled, kf, kb = kept
         g = {"u": delta @ pooled, "c": np.array([delta.sum()], np.float32)}
         dpool = delta[:, None] * self.p["u"]
@@ -185,7 +193,7 @@ class Scorer:
         if not new:
             return
         own = np.array([net.vocabulary.get(w, 0) for w in new])
-        x = net.inputs(own, *trigrams(new))
+        x = net.inputs(own, *trigrams(new), heads(new))
         for d in "fb":
             rows, at = self.table[d], len(self.ids) - len(new)
             if len(rows) < len(self.ids):
@@ -217,6 +225,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts).astype(np.float64), -40, 40)))
 
 
+def summed(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows summed by where they go."""
+    return np.stack([np.bincount(to, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
     """A network fitted to labelled texts. The same rows in the same order give the same network."""
     rng = np.random.default_rng(seed)
@@ -229,15 +242,23 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     chosen = sorted((w for w in seen if seen[w] >= LEAST_TEXTS), key=lambda w: (-seen[w], w))[:VOCABULARY]
     vocabulary = {w: i + 1 for i, w in enumerate(chosen)}
     n1, n0 = max(1.0, float(y.sum())), max(1.0, float(len(y) - y.sum()))
-    lean = np.array([0.0] + [np.log((toxic[w] + 0.5) / (n1 + 1)) - np.log((clean[w] + 0.5) / (n0 + 1)) for w in chosen])
-    lean = np.clip(lean / 2, -2, 2).astype(np.float32)
-    net = Network.new(vocabulary, lean, seed)
+    def leaning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How much more often in toxic texts, in logarithms; nearer to nothing the fewer texts there are."""
+        return np.clip((np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))) * (a + b) / (a + b + 4) / 2, -2, 2).astype(np.float32)
+
+    lean = np.append(np.float32(0), leaning(np.array([toxic[w] for w in chosen], float), np.array([clean[w] for w in chosen], float)))
+    by_head = np.zeros((2, BUCKETS))
+    for ws, label in zip(words, labels, strict=True):
+        by_head[1 if label else 0][np.unique(heads(list(set(ws))))] += 1
+    head_lean = leaning(by_head[1], by_head[0])
+    net = Network.new(vocabulary, lean, head_lean, seed)
     ids = _Ids()
     flat = np.append(np.fromiter((ids[w] for ws in words for w in ws), dtype=np.int64), 0)
     if not len(ids):
         return net
     own = np.array([vocabulary.get(w, 0) for w in ids.new])
     tri, starts = trigrams(ids.new)
+    begin = heads(ids.new)
     counts = np.diff(np.append(starts, len(tri)))
     lengths = np.array([len(w) for w in words])
     first, owner = windows_of(lengths, TRAINED_WINDOWS)
@@ -245,37 +266,38 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     place = first[:, None] + np.arange(WINDOW)
     mask = place < ends[:, None]
     grid = np.where(mask, flat[np.minimum(place, len(flat) - 1)], 0)
-    logit = np.sort(lean[own][grid] * mask, axis=1)[:, -2:].sum(axis=1)  # to begin with: the two words that lean most
+    start = np.maximum(lean[own], head_lean[begin].mean(axis=1))
+    logit = np.sort(start[grid] * mask, axis=1)[:, -2:].sum(axis=1)  # to begin with: the two words that lean most
     balance = np.where(y > 0, min(4.0, n0 / n1), 1.0).astype(np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     for epoch in range(epochs):
-        if epoch:
-            x = net.inputs(own, tri, starts)
+        if epoch % 2:  # the windows that count are chosen anew every other time
+            x = net.inputs(own, tri, starts, begin)
             xf, xb = x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"]
             logit = np.concatenate([net.forward(xf[grid[at : at + SCORED].T], xb[grid[at : at + SCORED].T], mask[at : at + SCORED].T.astype(np.float32))[0] for at in range(0, len(grid), SCORED)])
         top = np.array([bounds[i] + int(np.argmax(logit[bounds[i] : bounds[i + 1]])) for i in range(len(texts))])
         other = np.array([rng.integers(bounds[i], bounds[i + 1]) for i in range(len(texts)) if not y[i]], dtype=np.int64)
         picked = rng.permutation(np.concatenate([top, other]))
-        for at in range(0, len(picked), BATCH):
-            rows = picked[at : at + BATCH]
+        batch = min(max(BATCH[0], len(picked) // 24), BATCH[1])
+        for at in range(0, len(picked), batch):
+            rows = picked[at : at + batch]
             g, m = grid[rows].T, mask[rows].T.astype(np.float32)
             unique, inverse = np.unique(g, return_inverse=True)
             inverse = inverse.reshape(g.shape)
             spread = np.repeat(starts[unique], counts[unique]) + np.arange(counts[unique].sum()) - np.repeat(np.cumsum(counts[unique]) - counts[unique], counts[unique])
-            parts, heads = tri[spread], np.cumsum(counts[unique]) - counts[unique]
+            parts, firsts = tri[spread], np.cumsum(counts[unique]) - counts[unique]
             known = np.where(rng.random(len(unique)) < 0.1, 0, own[unique])  # now and then a word is known by its characters only
-            x = net.inputs(known, parts, heads)[inverse]
+            x = net.inputs(known, parts, firsts, begin[unique])[inverse]
             logits, kept = net.forward(x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"], m, keep=True)
             chance = 1 / (1 + np.exp(-logits))
             delta = ((chance - y[owner[rows]]) * balance[owner[rows]] / len(rows)).astype(np.float32)
             grads, dx = net.gradients(x, m, delta, kept)
-            du = np.zeros((len(unique), OWN + CHARS), np.float32)
-            np.add.at(du, inverse.ravel(), dx.reshape(-1, OWN + CHARS))
-            grads["own"], grads["chars"] = np.zeros_like(net.p["own"]), np.zeros_like(net.p["chars"])
-            np.add.at(grads["own"], known, du[:, :OWN])
-            np.add.at(grads["chars"], parts, np.repeat(du[:, OWN:] / counts[unique][:, None], counts[unique], axis=0))
+            du = summed(inverse.ravel(), dx.reshape(-1, OWN + 2 * CHARS), len(unique))
+            grads["own"] = summed(known, du[:, :OWN], len(net.p["own"]))
+            grads["chars"] = summed(parts, np.repeat(du[:, OWN : OWN + CHARS] / counts[unique][:, None], counts[unique], axis=0), BUCKETS)
+            grads["heads"] = summed(begin[unique].ravel(), np.repeat(du[:, OWN + CHARS :] / len(HEADS), len(HEADS), axis=0), BUCKETS)
             step += 1
             rate = RATE * (1 - 0.8 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, v in net.p.items():
@@ -313,23 +335,24 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     Null and empty texts are scored as a window without words, texts of any
     length by all their windows, equal texts alike.
     """
-    names = docs.columns if keep else [id_col]
+    names = docs.columns if keep else [id_col, text_col]
+    kept = [n for n in names if keep or n != text_col]
     frozen = docs.sparkSession.sparkContext.broadcast(pickle.dumps((network.p, network.vocabulary)))  # at most VOCABULARY words
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Network(*pickle.loads(frozen.value)))
         for batch in batches:
-            texts = batch.column(len(names))
+            texts = batch.column(names.index(text_col))
             sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             cuts, first = np.cumsum(sizes) // (1 << 20), 0
             while first < len(texts):
                 last = max(first + 1, int(np.searchsorted(cuts, cuts[first], "right")))
                 found = scorer.scores(texts.slice(first, last - first).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in range(len(names))), pa.array(found)], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)).slice(first, last - first) for n in kept), pa.array(found)], names=[*kept, out])
                 first = last
 
-    return docs.select(*names, F.col(text_col).alias("__mr_scored")).mapInArrow(run, f"{kinds}, `{out}` double")
+    return docs.select(*names).mapInArrow(run, f"{kinds}, `{out}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
@@ -343,3 +366,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     network = fit(docs, labels, id_col, text_col, label_col, sample)
     return score(docs, network, id_col, text_col).select(id_col, (fold(id_col) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """docs, with all columns, without the rows that score 0.5 or more; texts are not shuffled."""
+    scored = score(docs, fit(docs, labels, id_col, text_col, label_col, sample), id_col, text_col, out="__mr_score", keep=True)
+    return scored.where("__mr_score < 0.5").select(*docs.columns)
