@@ -36,9 +36,12 @@ def first_map(shards: int, slots: int = SLOTS) -> dict:
 def rebalance(current: dict, loads: dict[int, int], shards: int | None = None) -> dict:
     """The next version of a map, with as even bytes as its slots allow.
 
-    Slots leave shards above the mean, largest first, for the lightest shard;
-    a slot stays where it is if no move helps. New shards start empty. Shards
-    that are gone give up all their slots. The input map isn't changed.
+    The first map, which knows no bytes, is dealt anew where it overfills a
+    shard: largest slots first, to the lightest shard. Later maps keep slots
+    where they are, but for those of shards that are gone. Then slots move one
+    at a time from the fullest shard to the emptiest (new shards are empty), as
+    long as that narrows the gap, so a map that is even already stays. The
+    input map isn't changed.
     """
     shards = shards or current["shards"]
     place = list(current["slots"])
@@ -46,9 +49,10 @@ def rebalance(current: dict, loads: dict[int, int], shards: int | None = None) -
     loose: list[int] = []
     mean = sum(loads.values()) / shards
     by_load = sorted(range(len(place)), key=lambda s: (-loads.get(s, 0), s))
-    for slot in by_load:  # large slots keep their shard first; what would overfill it is dealt anew
+    fresh = current["version"] == 1
+    for slot in by_load:
         to = place[slot]
-        if to >= shards or loads.get(slot, 0) and held[to] + loads[slot] > mean:
+        if to >= shards or fresh and loads.get(slot, 0) and held[to] + loads[slot] > mean:
             loose.append(slot)
         else:
             held[to] += loads.get(slot, 0)
@@ -62,7 +66,7 @@ def rebalance(current: dict, loads: dict[int, int], shards: int | None = None) -
     members: list[list[int]] = [[] for _ in range(shards)]
     for slot in by_load:
         members[place[slot]].append(slot)
-    for _ in range(4 * len(place)):  # then single slots move from the fullest to the emptiest while that narrows the gap
+    for _ in range(4 * len(place)):
         low, high = min(range(shards), key=held.__getitem__), max(range(shards), key=held.__getitem__)
         gap = held[high] - held[low]
         fits = [s for s in members[high] if 0 < loads.get(s, 0) < gap]
