@@ -326,7 +326,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         net = train([t for _, t, _ in found], [y for _, _, y in found])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.p, net.vocabulary))], pa.binary())], names=["model"])
 
-    return Network(*pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").collect()[0].model))
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return Network(*pickle.loads(made[0].model)) if made else train([], [])
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", out: str = "score", keep: bool = False) -> DataFrame:
