@@ -12,6 +12,7 @@ PROFANITY = ("badword1", "badword2", "offensive")
 HARMFUL = (r"\b(kill|murder|bomb)\b",)
 SCRIPTS = (("zh", r"[\x{4E00}-\x{9FFF}]"), ("ar", r"[\x{0600}-\x{06FF}]"), ("ru", r"[\x{0400}-\x{04FF}]"))
 SCRIPT_SHARE, LATIN_SHARE = 0.3, 0.5
+BEYOND_LATIN = r"[^\x{00}-\x{24F}]"
 FLESCH = (206.835, 1.015, 84.6)
 
 
@@ -48,9 +49,12 @@ def unassigned_characters(text: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """The script that dominates the letters; Latin text counts as "en", digits and blanks with it."""
+    """The script that dominates the letters; Latin text counts as "en", digits and blanks with it.
+
+    Only texts with characters beyond Latin are counted; of the others one letter tells.
+    """
     letters = count(text, r"\p{L}")
-    found = F.when(letters == 0, "unknown")
+    found = F.when(~text.rlike(r"\p{L}"), "unknown").when(~text.rlike(BEYOND_LATIN), "en")
     for name, pattern in SCRIPTS:
         found = found.when(count(text, pattern) / letters > SCRIPT_SHARE, name)
     return found.when(count(text, r"[\x{00}-\x{24F}]") / letters > LATIN_SHARE, "en").otherwise("unknown")

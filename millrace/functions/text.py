@@ -32,15 +32,15 @@ SPECIAL_TOKENS = ("<PAD>", "<UNK>", "<BOS>", "<EOS>")
 
 
 def normalize(text: Column, form: str = "NFKC") -> Column:
-    """Unicode normalization; ASCII is a fixed point and never leaves the JVM's value unchanged."""
+    """Unicode normalization. ASCII is a fixed point, so only other texts go through Python."""
     if form not in FORMS:
         raise ValueError(f"unknown Unicode form {form!r}")
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else v if v.isascii() else unicodedata.normalize(form, v))
+        return values.map(lambda v: None if v is None else unicodedata.normalize(form, v))
 
-    return run(text)
+    return F.coalesce(run(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def strip_accents(text: Column) -> Column:
@@ -62,7 +62,7 @@ def remove_emails(text: Column) -> Column:
 
 
 def remove_phones(text: Column) -> Column:
-    return gated(text, text.rlike(r"(?U)\d{3}[-.\s]?\d{4}"), PHONE)
+    return gated(text, text.rlike(rf"\p{{Nd}}{{3}}[-.{SPACE}]?\p{{Nd}}{{4}}"), PHONE)
 
 
 def remove_numbers(text: Column) -> Column:
