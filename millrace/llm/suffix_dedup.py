@@ -9,10 +9,11 @@ elsewhere. Sorting all suffixes of a large corpus is not needed for that:
   windows with one anchor form a run, about one for each 80 bytes; runs are
   counted by anchor, and most drop out here.
 * Runs whose anchor always stands in the same surroundings repeat as a whole.
-* For the others, the suffixes that begin at their windows are merge-sorted by
-  anchor, place and content. Prefix polynomial hashes and a binary search over
-  lengths give two suffixes' common extension in eight steps; neighbours that
-  share LENGTH bytes are compared byte by byte before they count as equal.
+* For the others, the suffixes that begin at their anchors are merge-sorted.
+  Prefix polynomial hashes and a binary search over lengths give two suffixes'
+  common extension in eight steps. Windows are equal where sorted neighbours
+  share enough to the right and have one hash to the left; what is found so is
+  compared byte by byte before it counts.
 * An anchor in a great many different surroundings (the border of a passage
   that everyone quotes) would gather too many suffixes in one task. Its windows
   are told apart by 128-bit digests, first within a task and then, one of each,
@@ -123,7 +124,7 @@ def runs_of(data: np.ndarray, starts: np.ndarray, shift: int = 0) -> Runs:
 
 def pieces(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, Runs]]:
     """Runs of all texts, some at a time, and the number of the first text; a long text comes in pieces, each with the bytes that its last windows need."""
-    for first, last in steps(starts):
+    for first, last in steps(starts, PIECE):
         own = data[starts[first] : starts[last]]
         if len(own) <= 2 * PIECE:
             yield first, runs_of(own, starts[first : last + 1] - starts[first])
@@ -133,9 +134,9 @@ def pieces(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, Runs]]:
                 yield first, runs_of(part, np.array([0, len(part)]), shift)
 
 
-def lcp(p: Prefixes, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Common extension of suffixes, up to LENGTH bytes, by binary search."""
-    low, high = np.zeros(len(x), dtype=np.int64), np.full(len(x), LENGTH, dtype=np.int64)
+def lcp(p: Prefixes, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Common extension of suffixes, up to `most` bytes, by binary search."""
+    low, high = np.zeros(len(x), dtype=np.int64), most.astype(np.int64)
     for _ in range(LENGTH.bit_length()):
         middle = (low + high + 1) >> 1
         same = p.at(x, middle) == p.at(y, middle)
@@ -143,15 +144,25 @@ def lcp(p: Prefixes, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return low
 
 
-def before(p: Prefixes, data: np.ndarray, x: np.ndarray, y: np.ndarray, ties: bool) -> np.ndarray:
-    """Whether suffix x sorts before y; `ties` for those that share LENGTH bytes."""
-    common = lcp(p, x, y)
-    whole = common >= LENGTH
-    off = np.where(whole, 0, common)
-    return np.where(whole, ties, data[x + off] < data[y + off])
+class Suffixes:
+    """Suffixes by where they begin and how long they are (LENGTH at most); what ends sorts before what goes on."""
 
+    def __init__(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        self.data, self.begin, self.length, self.p = data, begin, np.minimum(length, LENGTH), Prefixes(data)
 
-def suffix_sort(p: Prefixes, data: np.ndarray, suffix: np.ndarray, group: np.ndarray) -> np.ndarray:
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return lcp(self.p, self.begin[x], self.begin[y], np.minimum(self.length[x], self.length[y]))
+
+    def before(self, x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Whether suffix x sorts before y; `ties` where they are equal."""
+        common = self.common(x, y)
+        over = common >= np.minimum(self.length[x], self.length[y])
+        off = np.where(over, 0, common)
+        by_end = np.where(self.length[x] == self.length[y], ties, self.length[x] < self.length[y])
+        return np.where(over, by_end, self.data[self.begin[x] + off] < self.data[self.begin[y] + off])
+
+
+def suffix_sort(suffixes: Suffixes, group: np.ndarray) -> np.ndarray:
     """Order of suffixes within their groups (in ascending order already): a merge sort of all groups at once.
 
     Runs of 1, 2, 4, ... suffixes merge in pairs: a suffix's place in the pair
@@ -160,29 +171,25 @@ def suffix_sort(p: Prefixes, data: np.ndarray, suffix: np.ndarray, group: np.nda
     heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.append(heads, len(group)))
     head, size = np.repeat(heads, sizes), np.repeat(sizes, sizes)
-    order, width, most = np.arange(len(suffix)), 1, int(sizes.max())
-    here = np.arange(len(suffix)) - head
+    order, width, most = np.arange(len(group)), 1, int(sizes.max())
+    here = np.arange(len(group)) - head
     while width < most:
         live = np.flatnonzero(size > width)
         place = here[live]
         pair = place // (2 * width) * (2 * width)
         left = place - pair < width
         other = np.where(left, pair + width, pair)
-        other_end = np.minimum(other + width, size[live])
-        low, high = np.minimum(other, size[live]), np.maximum(other_end, np.minimum(other, size[live]))
-        base = low.copy()
-        mine = suffix[order[live]]
-        open_ = low < high
-        while open_.any():
-            i = np.flatnonzero(open_)
+        low = np.minimum(other, size[live])
+        high = np.maximum(np.minimum(other + width, size[live]), low)
+        base, mine = low.copy(), order[live]
+        while len(i := np.flatnonzero(low < high)):
             middle = (low[i] + high[i]) >> 1
-            theirs = suffix[order[head[live[i]] + middle]]
+            theirs = order[head[live[i]] + middle]
             # From the left, equals stay first; from the right, after them.
-            up = np.where(left[i], before(p, data, theirs, mine[i], False), before(p, data, theirs, mine[i], True))
+            up = suffixes.before(theirs, mine[i], ~left[i])
             low[i] = np.where(up, middle + 1, low[i])
             high[i] = np.where(up, high[i], middle)
-            open_ = low < high
-        to = np.where(left, place + low - base, pair + (place - pair - width) + (low - base))
+        to = np.where(left, place, pair + (place - pair - width)) + low - base
         moved = order.copy()
         moved[head[live] + to] = order[live]
         order, width = moved, width * 2
@@ -190,37 +197,92 @@ def suffix_sort(p: Prefixes, data: np.ndarray, suffix: np.ndarray, group: np.nda
 
 
 def repeated(contexts: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
-    """Which windows of each (anchor number, anchor place, bytes) repeat among those of the same anchor. Anchors in ascending order."""
-    sizes = np.array([len(c) - LENGTH + 1 for _, _, c in contexts])
-    data = np.frombuffer(b"".join(c for _, _, c in contexts), dtype=np.uint8)
-    begins = np.cumsum(sizes + LENGTH - 1) - (sizes + LENGTH - 1)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    suffix = begins[owner] + nth
-    anchor, place = np.array([a for a, _, _ in contexts])[owner], np.array([p for _, p, _ in contexts])[owner]
-    by = np.lexsort((nth - place, anchor))
-    key_a, key_p = anchor[by], (nth - place)[by]
-    group = np.cumsum(np.concatenate(([0], (key_a[1:] != key_a[:-1]) | (key_p[1:] != key_p[:-1]))))
-    p = Prefixes(data)
-    order = by[suffix_sort(p, data, suffix[by], group)]
-    a, b = order[:-1], order[1:]
-    near = np.flatnonzero(group[:-1] == group[1:])  # sorting leaves every group where it was
-    near = near[lcp(p, suffix[a[near]], suffix[b[near]]) >= LENGTH]
-    found = np.zeros(len(suffix), dtype=bool)
-    for at in range(0, len(near), 1 << 14):
-        i = near[at : at + (1 << 14)]
-        rows = np.arange(LENGTH)
-        same = (data[suffix[a[i]][:, None] + rows] == data[suffix[b[i]][:, None] + rows]).all(axis=1)
-        found[a[i[same]]] = found[b[i[same]]] = True
-        for g in np.unique(group[i[~same]]):  # hashes that collide: the group's windows by their bytes
-            members = by[group == g]
-            texts: dict[bytes, list[int]] = {}
-            for m in members:
-                texts.setdefault(data[suffix[m] : suffix[m] + LENGTH].tobytes(), []).append(int(m))
-            found[members] = False
-            for equal in texts.values():
-                found[equal] = len(equal) > 1
-    return [found[s - n : s] for s, n in zip(np.cumsum(sizes), sizes, strict=True)]
+    """Which windows of each (anchor number, anchor place, bytes) repeat among those of the same anchor. Anchors in ascending order.
+
+    Equal surroundings are sorted once, and all their windows repeat. The
+    suffixes that begin at the anchors are sorted within their anchor. A window
+    that begins s bytes before its anchor equals another if both suffixes agree
+    on LENGTH - s bytes, which neighbours in the sorted order do in stretches,
+    and the s bytes before have one hash; then all bytes are compared.
+    """
+    classes: dict[tuple[int, int, bytes], int] = {}
+    own = np.array([classes.setdefault(c, len(classes)) for c in contexts])
+    times = np.bincount(own)
+    anchor = np.array([a for a, _, _ in classes])
+    rivals = np.bincount(anchor)[anchor] > 1
+    kept = [c for c, wanted in zip(classes, rivals, strict=True) if wanted]
+    alike = iter(_windows(kept) if kept else [])
+    marked = [next(alike) if wanted else None for wanted in rivals]
+    sizes = [len(c) - LENGTH + 1 for _, _, c in classes]
+    found = [np.ones(n, dtype=bool) if t > 1 else m if m is not None else np.zeros(n, dtype=bool) for n, t, m in zip(sizes, times, marked, strict=True)]
+    return [found[i] for i in own]
+
+
+def _windows(classes: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+    """The windows of distinct surroundings that repeat in others of their anchor."""
+    lengths = np.array([len(c) for _, _, c in classes])
+    data = np.frombuffer(b"".join(c for _, _, c in classes), dtype=np.uint8)
+    begin = np.cumsum(lengths) - lengths
+    anchor, place = np.array([a for a, _, _ in classes]), np.array([p for _, p, _ in classes])
+    suffixes = Suffixes(data, begin + place, lengths - place)
+    order = suffix_sort(suffixes, anchor)
+    anchor, place, begin, windows = anchor[order], place[order], begin[order], (lengths - LENGTH + 1)[order]
+    # What each suffix shares with the one before in its anchor; nothing at an anchor's first.
+    shared = np.full(len(order), -1, dtype=np.int64)
+    inner = np.flatnonzero(anchor[1:] == anchor[:-1]) + 1
+    shared[inner] = suffixes.common(order[inner], order[inner - 1])
+    hits: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for s in range(int(place.max()) + 1):
+        have = np.flatnonzero((place >= s) & (place - s < windows))
+        stretch = np.cumsum(shared < LENGTH - s)[have]
+        have, stretch = _repeating(have, stretch)
+        if not len(have):
+            continue
+        before = suffixes.p.at(begin[have] + place[have] - s, np.full(len(have), s))
+        by = np.lexsort((before, stretch))
+        same = (stretch[by][1:] == stretch[by][:-1]) & (before[by][1:] == before[by][:-1])
+        a, b = have[by[:-1][same]], have[by[1:][same]]
+        if len(a):
+            hits.append((a, b, s))
+    marks = [np.zeros(n, dtype=bool) for n in windows]
+    for a, b, low, high in _pairs(hits):
+        # Windows from s = high down to low lie one after another in both; bytes decide.
+        n = high - low + LENGTH
+        x, y = begin[a] + place[a] - high, begin[b] + place[b] - high
+        equal = data[x : x + n] == data[y : y + n]
+        if equal.all():
+            for i in (a, b):
+                marks[i][place[i] - high : place[i] - low + 1] = True
+        else:  # hashes that collide
+            for k in range(high - low + 1):
+                if equal[k : k + LENGTH].all():
+                    marks[a][place[a] - high + k] = marks[b][place[b] - high + k] = True
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return [marks[i] for i in back]
+
+
+def _repeating(have: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without those that are alone in their stretch."""
+    if len(have) < 2:
+        return have[:0], stretch[:0]
+    same = stretch[1:] == stretch[:-1]
+    keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    return have[keep], stretch[keep]
+
+
+def _pairs(hits: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Neighbours (a, b) and the ranges of s over which they met without a gap."""
+    if not hits:
+        return
+    a, b = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+    s = np.repeat([h[2] for h in hits], [len(h[0]) for h in hits])
+    by = np.lexsort((s, b, a))
+    a, b, s = a[by], b[by], s[by]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1] + 1)))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(a)) - 1
+    yield from zip(a[first].tolist(), b[first].tolist(), s[first].tolist(), s[last].tolist(), strict=True)
 
 
 def ranges_of(marked: np.ndarray, first: int) -> list[int]:
