@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hadoop_path, new_path
+from .common import hadoop_path, new_path, written
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,8 @@ def scan_versions(versions: DataFrame, path_cols: list[str], text_col: str = "te
     kinds = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.kind)])
     own = wanted.select("blob", F.filter("spans", lambda s: s["kind"] == kinds[F.col("key")]).alias("spans"))
     by_blob = own.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    # Written: a side of its own lets Spark split the rows of a blob that very many paths hold.
+    by_blob = written(by_blob, "findings")
     keyed = versions.select(*path_cols, blob.alias("blob"))
     empty = F.array().cast(by_blob.schema["spans"].dataType)
     return keyed.join(by_blob, "blob", "left").select(*path_cols, "blob", F.coalesce("spans", empty).alias("spans"))
