@@ -1,61 +1,7 @@
-"""What the operators share: written stages, ASCII lower-casing, partition counts."""
+"""What the operators share with the rest of the library."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
+from ..workspace import hadoop_path, new_path, shared_dir, written
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = context._jsc.sc().getCheckpointDir().getOrElse(None) if context._jsc.sc().getCheckpointDir().isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other call gets; it goes when the session ends."""
-    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    atexit.register(delete_path, spark, path)
-    return path
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    """The Hadoop file system and path object of a path in any store."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # at exit the session may have ended
-        fs, where = hadoop_path(spark, path)
-        fs.delete(where, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
-
-
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["hadoop_path", "new_path", "shared_dir", "written"]
