@@ -41,7 +41,7 @@ TRAINED_WINDOWS = 64
 #: Passes, windows of a batch (fewer when there are few texts, for enough steps), and the rate.
 EPOCHS, BATCH, RATE = 10, (32, 256), 0.01
 #: Windows scored at a time, and words whose inputs a scorer keeps.
-SCORED, KEPT = 2048, 150_000
+SCORED, KEPT = 2048, 100_000
 #: Folds: rows of fold 0 are held out.
 FOLDS = 5
 
@@ -64,6 +64,18 @@ def heads(words: list[str]) -> np.ndarray:
     return np.array([[zlib.crc32(w[:n].encode()) % BUCKETS for n in HEADS] for w in words], dtype=np.int64).reshape(-1, len(HEADS))
 
 
+def characters(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """trigrams() and heads() of many words, some at a time to keep memory low."""
+    tri, starts, begin, total = [], [], [], 0
+    for at in range(0, len(words), step):
+        t, s = trigrams(words[at : at + step])
+        tri.append(t.astype(np.int32))
+        starts.append(s + total)
+        begin.append(heads(words[at : at + step]).astype(np.int32))
+        total += len(t)
+    return np.concatenate(tri), np.concatenate(starts), np.concatenate(begin)
+
+
 def window_starts(n: int) -> range:
     """Where windows begin; the last one reaches the end."""
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
@@ -193,7 +205,7 @@ class Scorer:
         if not new:
             return
         own = np.array([net.vocabulary.get(w, 0) for w in new])
-        x = net.inputs(own, *trigrams(new), heads(new))
+        x = net.inputs(own, *characters(new))
         for d in "fb":
             rows, at = self.table[d], len(self.ids) - len(new)
             if len(rows) < len(self.ids):
@@ -257,15 +269,23 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if not len(ids):
         return net
     own = np.array([vocabulary.get(w, 0) for w in ids.new])
-    tri, starts = trigrams(ids.new)
-    begin = heads(ids.new)
+    tri, starts, begin = characters(ids.new)
     counts = np.diff(np.append(starts, len(tri)))
     lengths = np.array([len(w) for w in words])
+    del words, toxic, clean, seen, ids
+
+    def looked_up(unique: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of some words, of which `known` are themselves, and their trigrams."""
+        firsts = np.cumsum(counts[unique]) - counts[unique]
+        parts = tri[np.repeat(starts[unique] - firsts, counts[unique]) + np.arange(counts[unique].sum())]
+        return net.inputs(known, parts, firsts, begin[unique]), parts
+
     first, owner = windows_of(lengths, TRAINED_WINDOWS)
     ends = np.cumsum(lengths)[owner]
     place = first[:, None] + np.arange(WINDOW)
     mask = place < ends[:, None]
-    grid = np.where(mask, flat[np.minimum(place, len(flat) - 1)], 0)
+    grid = np.where(mask, flat[np.minimum(place, len(flat) - 1)], 0).astype(np.int32)
+    del place, flat
     start = np.maximum(lean[own], head_lean[begin].mean(axis=1))
     logit = np.sort(start[grid] * mask, axis=1)[:, -2:].sum(axis=1)  # to begin with: the two words that lean most
     balance = np.where(y > 0, min(4.0, n0 / n1), 1.0).astype(np.float32)
@@ -274,9 +294,13 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     for epoch in range(epochs):
         if epoch % 2:  # the windows that count are chosen anew every other time
-            x = net.inputs(own, tri, starts, begin)
-            xf, xb = x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"]
-            logit = np.concatenate([net.forward(xf[grid[at : at + SCORED].T], xb[grid[at : at + SCORED].T], mask[at : at + SCORED].T.astype(np.float32))[0] for at in range(0, len(grid), SCORED)])
+            scored = []
+            for at in range(0, len(grid), SCORED):
+                unique, inverse = np.unique(grid[at : at + SCORED].T, return_inverse=True)
+                x, _ = looked_up(unique, own[unique])
+                inverse, m = inverse.reshape(WINDOW, -1), mask[at : at + SCORED].T.astype(np.float32)
+                scored.append(net.forward((x @ net.p["Wf"] + net.p["bf"])[inverse], (x @ net.p["Wb"] + net.p["bb"])[inverse], m)[0])
+            logit = np.concatenate(scored)
         top = np.array([bounds[i] + int(np.argmax(logit[bounds[i] : bounds[i + 1]])) for i in range(len(texts))])
         other = np.array([rng.integers(bounds[i], bounds[i + 1]) for i in range(len(texts)) if not y[i]], dtype=np.int64)
         picked = rng.permutation(np.concatenate([top, other]))
@@ -286,10 +310,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             g, m = grid[rows].T, mask[rows].T.astype(np.float32)
             unique, inverse = np.unique(g, return_inverse=True)
             inverse = inverse.reshape(g.shape)
-            spread = np.repeat(starts[unique], counts[unique]) + np.arange(counts[unique].sum()) - np.repeat(np.cumsum(counts[unique]) - counts[unique], counts[unique])
-            parts, firsts = tri[spread], np.cumsum(counts[unique]) - counts[unique]
             known = np.where(rng.random(len(unique)) < 0.1, 0, own[unique])  # now and then a word is known by its characters only
-            x = net.inputs(known, parts, firsts, begin[unique])[inverse]
+            x, parts = looked_up(unique, known)
+            x = x[inverse]
             logits, kept = net.forward(x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"], m, keep=True)
             chance = 1 / (1 + np.exp(-logits))
             delta = ((chance - y[owner[rows]]) * balance[owner[rows]] / len(rows)).astype(np.float32)
