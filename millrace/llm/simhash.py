@@ -123,8 +123,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 2) -> DataFrame:
     """docs with one row of each group: the one with the smallest id (null last), then the smallest text checksum; of equal rows any one."""
     rows, groups = grouped(docs, id_col, text_col, width, distance)
-    firsts = rows.groupBy("fingerprint").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key")).alias("first"))
-    kept = groups.drop("first").join(firsts, "fingerprint").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__mr_id"), F.col("first.text_key").alias("__mr_key"))
+    return first_of_groups(docs, rows, groups.drop("first"), "fingerprint", id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame, groups: DataFrame, node: str, id_col: str, text_col: str) -> DataFrame:
+    """keep_one() for rows with a node and a text_key, and groups with the label of each node."""
+    firsts = rows.groupBy(node).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key")).alias("first"))
+    kept = groups.join(firsts, node).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__mr_id"), F.col("first.text_key").alias("__mr_key"))
     keyed = docs.withColumn("__mr_text", F.xxhash64(text_col))
     same = keyed[id_col].eqNullSafe(F.col("__mr_id")) & (F.col("__mr_text") == F.col("__mr_key"))
     met = keyed.join(kept, same, "left_semi")
