@@ -36,8 +36,6 @@ HEADS = (4, 5, 6, 7)
 SAMPLE = 2500
 #: Words with vectors of their own: in at least 3 training texts, and the most frequent of these.
 LEAST_TEXTS, VOCABULARY = 3, 30_000
-#: Windows of a text that training looks at, evenly spread over it.
-TRAINED_WINDOWS = 64
 #: Passes, windows of a batch (fewer when there are few texts, for enough steps), and the rate.
 EPOCHS, BATCH, RATE = 10, (32, 256), 0.01
 #: Windows scored at a time, and words whose inputs a scorer keeps.
@@ -180,14 +178,12 @@ class _Ids(dict):
         return n
 
 
-def windows_of(lengths: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word (in the texts one after another) and text of every window."""
     begins = np.cumsum(lengths) - lengths
     first, owner = [], []
     for i, n in enumerate(lengths):
         own = np.array(window_starts(int(n)))
-        if most and len(own) > most:
-            own = own[np.linspace(0, len(own) - 1, most).astype(int)]
         first.append(begins[i] + own)
         owner.append(np.full(len(own), i))
     return np.concatenate(first), np.concatenate(owner)
@@ -280,14 +276,21 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         parts = tri[np.repeat(starts[unique] - firsts, counts[unique]) + np.arange(counts[unique].sum())]
         return net.inputs(known, parts, firsts, begin[unique]), parts
 
-    first, owner = windows_of(lengths, TRAINED_WINDOWS)
+    flat = flat.astype(np.int32)
+    first, owner = windows_of(lengths)
     ends = np.cumsum(lengths)[owner]
-    place = first[:, None] + np.arange(WINDOW)
-    mask = place < ends[:, None]
-    grid = np.where(mask, flat[np.minimum(place, len(flat) - 1)], 0).astype(np.int32)
-    del place, flat
+
+    def read(some: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of some windows, and where there are words. All windows at once would take too much memory."""
+        place = first[some][:, None] + np.arange(WINDOW)
+        mask = place < ends[some][:, None]
+        return np.where(mask, flat[np.minimum(place, len(flat) - 1)], np.int32(0)), mask
+
     start = np.maximum(lean[own], head_lean[begin].mean(axis=1))
-    logit = np.sort(start[grid] * mask, axis=1)[:, -2:].sum(axis=1)  # to begin with: the two words that lean most
+    logit = np.empty(len(first), dtype=start.dtype)  # to begin with: the two words that lean most
+    for at in range(0, len(first), SCORED):
+        grid, mask = read(slice(at, at + SCORED))
+        logit[at : at + SCORED] = np.sort(start[grid] * mask, axis=1)[:, -2:].sum(axis=1)
     balance = np.where(y > 0, min(4.0, n0 / n1), 1.0).astype(np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -295,10 +298,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     for epoch in range(epochs):
         if epoch % 2:  # the windows that count are chosen anew every other time
             scored = []
-            for at in range(0, len(grid), SCORED):
-                unique, inverse = np.unique(grid[at : at + SCORED].T, return_inverse=True)
+            for at in range(0, len(first), SCORED):
+                grid, mask = read(slice(at, at + SCORED))
+                unique, inverse = np.unique(grid.T, return_inverse=True)
                 x, _ = looked_up(unique, own[unique])
-                inverse, m = inverse.reshape(WINDOW, -1), mask[at : at + SCORED].T.astype(np.float32)
+                inverse, m = inverse.reshape(WINDOW, -1), mask.T.astype(np.float32)
                 scored.append(net.forward((x @ net.p["Wf"] + net.p["bf"])[inverse], (x @ net.p["Wb"] + net.p["bb"])[inverse], m)[0])
             logit = np.concatenate(scored)
         top = np.array([bounds[i] + int(np.argmax(logit[bounds[i] : bounds[i + 1]])) for i in range(len(texts))])
@@ -307,7 +311,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         batch = min(max(BATCH[0], len(picked) // 24), BATCH[1])
         for at in range(0, len(picked), batch):
             rows = picked[at : at + batch]
-            g, m = grid[rows].T, mask[rows].T.astype(np.float32)
+            grid, mask = read(rows)
+            g, m = grid.T, mask.T.astype(np.float32)
             unique, inverse = np.unique(g, return_inverse=True)
             inverse = inverse.reshape(g.shape)
             known = np.where(rng.random(len(unique)) < 0.1, 0, own[unique])  # now and then a word is known by its characters only
