@@ -130,7 +130,7 @@ def text_vocabulary(spark, sf_dir):
 def text_encode(spark, sf_dir):
     tokens = _tokenized(spark, sf_dir)
     found = text.encode(tokens, text.build_vocabulary(tokens, min_freq=2), "ord")
-    return found.where(F.size("ids") > 0).select("ord", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("joined"))
+    return found.select("ord", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("joined"))
 
 
 @query(VOCABULARY + " SELECT doc_id AS ord, string_agg(CASE WHEN id IS NULL THEN '<UNK>' ELSE token END, ' ' ORDER BY pos) AS joined FROM t LEFT JOIN v USING (token) GROUP BY doc_id")
@@ -138,7 +138,7 @@ def text_decode(spark, sf_dir):
     tokens = _tokenized(spark, sf_dir)
     vocabulary = text.build_vocabulary(tokens, min_freq=2)
     found = text.decode(text.encode(tokens, vocabulary, "ord"), vocabulary, "ord")
-    return found.where(F.size("tokens") > 0).select("ord", F.array_join("tokens", " ").alias("joined"))
+    return found.select("ord", F.array_join("tokens", " ").alias("joined"))
 
 
 STATISTICS = rf"""
