@@ -99,6 +99,12 @@ def text_remove_punctuation(spark, sf_dir):
     return text.clean(docs(spark, sf_dir), config=config).select("doc_id", "cleaned")
 
 
+@query()  # RE2 has no lookaround for whole numbers; a test holds it against plain Python
+def text_remove_numbers(spark, sf_dir):
+    config = T.TextConfig(unicode_form=None, remove_urls=False, remove_emails=False, remove_phone_numbers=False, remove_numbers=True, remove_punctuation=True)
+    return text.clean(docs(spark, sf_dir), config=config).select("doc_id", "cleaned")
+
+
 @query("SELECT doc_id, text AS normalized FROM documents")
 def text_unicode_nfkc(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
