@@ -8,16 +8,21 @@ elsewhere. Sorting all suffixes of a large corpus is not needed for that:
   only windows whose anchor occurs more than once can repeat. Neighbouring
   windows with one anchor form a run, about one for each 80 bytes; runs are
   counted by anchor, and most drop out here.
-* Runs whose anchor always stands in the same surroundings repeat as a whole.
-* For the others, the suffixes that begin at their anchors are merge-sorted.
-  Prefix polynomial hashes and a binary search over lengths give two suffixes'
-  common extension in eight steps. Windows are equal where sorted neighbours
-  share enough to the right and have one hash to the left; what is found so is
-  compared byte by byte before it counts.
-* An anchor in a great many different surroundings (the border of a passage
-  that everyone quotes) would gather too many suffixes in one task. Its windows
-  are told apart by 128-bit digests, first within a task and then, one of each,
-  across tasks.
+* Runs of the other anchors go where their anchor goes, with all bytes of their
+  windows. Equal ones that meet in a task on the way repeat as a whole; one of
+  them goes on.
+* There the suffixes that begin at the anchors are merge-sorted. Prefix
+  polynomial hashes and a binary search over lengths give two suffixes' common
+  extension in eight steps. Then bytes are compared: those that sorted
+  neighbours are said to share, the next one, which must put them in order, and
+  all of a window that is to count. If hashes have misled, bytes alone decide.
+* An anchor in a great many surroundings (the border of a passage that everyone
+  quotes) would gather too much in one task. Its runs are cut into pieces of
+  CHUNK windows, which go where the bytes that all windows of a piece share
+  go, and if these still gather too much, into single windows. The same sort
+  takes them; only where it happens differs.
+
+Rows are told apart by their id and two checksums of their text.
 """
 
 from __future__ import annotations
@@ -37,10 +42,10 @@ from .common import written
 LENGTH, GRAM = 200, 40
 #: Window starts of a long text that are hashed at a time.
 PIECE = 1 << 21
-#: Anchors with more runs than this are resolved by digests.
-HOT = 2000
-#: Suffixes sorted at a time (whole anchors), and digests that a task holds before it sends them on.
-SORTED, HELD = 1 << 19, 1 << 20
+#: What more rows than this would go to in one place is cut finer: runs into pieces of CHUNK windows, these into windows.
+HOT, CHUNK = 2000, 16
+#: Windows sorted at a time (whole anchors), and bytes of texts or surroundings that a task remembers to find equal ones.
+SORTED, HELD = 1 << 19, 1 << 25
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -218,8 +223,42 @@ def repeated(contexts: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
     return [found[i] for i in own]
 
 
+class Misled(Exception):
+    """Hashes were equal where bytes are not."""
+
+
+def sorted_as_shown(suffixes: Suffixes, order: np.ndarray, inner: np.ndarray, shared: np.ndarray) -> None:
+    """Raises unless bytes prove the order: neighbours (order[inner - 1], order[inner]) share what they are said to, and differ in order after it."""
+    x, y, n = order[inner - 1], order[inner], shared
+    heads = np.cumsum(n) - n
+    off = np.arange(int(n.sum())) - np.repeat(heads, n)
+    data, begin, length = suffixes.data, suffixes.begin, suffixes.length
+    if (data[np.repeat(begin[x], n) + off] != data[np.repeat(begin[y], n) + off]).any():
+        raise Misled
+    over = n >= np.minimum(length[x], length[y])
+    at = np.where(over, 0, n)
+    if not np.where(over, length[x] <= length[y], data[begin[x] + at] < data[begin[y] + at]).all():
+        raise Misled
+
+
 def _windows(classes: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
     """The windows of distinct surroundings that repeat in others of their anchor."""
+    try:
+        return _by_sort(classes)
+    except Misled:
+        return _by_bytes(classes)
+
+
+def _by_bytes(classes: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+    """The same without hashes, one window after another."""
+    count: dict[tuple[int, bytes], int] = {}
+    for a, _, c in classes:
+        for i in range(len(c) - LENGTH + 1):
+            count[a, c[i : i + LENGTH]] = count.get((a, c[i : i + LENGTH]), 0) + 1
+    return [np.array([count[a, c[i : i + LENGTH]] > 1 for i in range(len(c) - LENGTH + 1)]) for a, _, c in classes]
+
+
+def _by_sort(classes: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
     lengths = np.array([len(c) for _, _, c in classes])
     data = np.frombuffer(b"".join(c for _, _, c in classes), dtype=np.uint8)
     begin = np.cumsum(lengths) - lengths
@@ -231,6 +270,7 @@ def _windows(classes: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
     shared = np.full(len(order), -1, dtype=np.int64)
     inner = np.flatnonzero(anchor[1:] == anchor[:-1]) + 1
     shared[inner] = suffixes.common(order[inner], order[inner - 1])
+    sorted_as_shown(suffixes, order, inner, shared[inner])
     hits: list[tuple[np.ndarray, np.ndarray, int]] = []
     for s in range(int(place.max()) + 1):
         have = np.flatnonzero((place >= s) & (place - s < windows))
@@ -249,14 +289,10 @@ def _windows(classes: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
         # Windows from s = high down to low lie one after another in both; bytes decide.
         n = high - low + LENGTH
         x, y = begin[a] + place[a] - high, begin[b] + place[b] - high
-        equal = data[x : x + n] == data[y : y + n]
-        if equal.all():
-            for i in (a, b):
-                marks[i][place[i] - high : place[i] - low + 1] = True
-        else:  # hashes that collide
-            for k in range(high - low + 1):
-                if equal[k : k + LENGTH].all():
-                    marks[a][place[a] - high + k] = marks[b][place[b] - high + k] = True
+        if (data[x : x + n] != data[y : y + n]).any():
+            raise Misled
+        for i in (a, b):
+            marks[i][place[i] - high : place[i] - low + 1] = True
     back = np.empty(len(order), dtype=np.int64)
     back[order] = np.arange(len(order))
     return [marks[i] for i in back]
@@ -292,40 +328,53 @@ def ranges_of(marked: np.ndarray, first: int) -> list[int]:
     return turns.tolist()
 
 
-KEYED = "k1 long, k2 long, "
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and two checksums of the text with different seeds; null texts are empty."""
+    """id (as it is, and as a string), text and two checksums of the text with different seeds; null texts are empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
+    return docs.select(F.col(id_col).alias("own"), F.col(id_col).cast("string").alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Anchors that occur more than once: whether their surroundings differ (1; 2 if there are many; else 0)."""
+    """Anchors that occur more than once, and whether they are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, runs in pieces(*text_bytes(batch.column(0))):
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(runs.surroundings(i)) for i in range(len(runs.text))), dtype=np.uint64, count=len(runs.text))
-                yield pa.RecordBatch.from_arrays([pa.array(runs.anchor.view(np.int64)), pa.array(digest.view(np.int64))], names=["anchor", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array(runs.anchor.view(np.int64))], names=["anchor"])
+
+    counted = docs.select("text").mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    return written(counted.where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
+
 
-    counted = docs.select("text").mapInArrow(run, "anchor long, around long").groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"))
-    kind = F.when(F.col("low") == F.col("high"), 0).when(F.col("n") <= HOT, 1).otherwise(2)
-    return written(counted.where("n > 1").select("anchor", kind.cast("int").alias("kind")), "anchors")
+class Recent:
+    """Values by the bytes that they were met with lately, up to HELD bytes."""
+
+    def __init__(self):
+        self.met: dict = {}
+        self.size = 0
+
+    def find(self, key, data: bytes, value):
+        """The value that these were met with; None the first time, when `value` is kept."""
+        found = self.met.get((key, data))
+        if found is None:
+            if self.size > HELD:
+                self.__init__()
+            self.met[key, data] = value
+            self.size += len(data) + 256
+        return found
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Anchor, text and number of every run; a text that a task has met before is left out."""
+    """Anchor, text (its checksums) and number of every run; of equal texts that a task meets in a short time only the first has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
+        met = Recent()
         for batch in batches:
-            k1, k2 = (batch.column(i).to_numpy() for i in (1, 2))
-            fresh = np.array([(k := (int(a), int(b))) not in met and not met.add(k) for a, b in zip(k1, k2, strict=True)], dtype=bool)
-            texts, k1, k2 = batch.column(0).filter(pa.array(fresh)), k1[fresh], k2[fresh]
+            column = batch.column(0).cast(pa.large_binary())
+            fresh = np.fromiter((met.find(None, t.as_py(), True) is None for t in column), dtype=bool, count=len(column))
+            k1, k2 = (batch.column(i).to_numpy()[fresh] for i in (1, 2))
             count: dict[int, int] = {}
-            for first, runs in pieces(*text_bytes(texts)):
+            for first, runs in pieces(*text_bytes(column.filter(pa.array(fresh)))):
                 text = runs.text + first
                 heads = np.searchsorted(text, text)
                 nth = np.arange(len(text)) - heads
@@ -340,25 +389,43 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("text", "k1", "k2").mapInArrow(run, "anchor long, k1 long, k2 long, nth int")
 
 
-FOUND = KEYED + "route long, anchor long, at int, place int, bytes binary, ranges array<int>, digest long, local boolean"
+FOUND = "id string, k1 long, k2 long, route long, at int, place int, bytes binary, ranges array<int>, kind string"
+RANGES = "id string, k1 long, k2 long, ranges array<int>"
+#: Kinds of rows: stretches that repeat; surroundings to be sorted; those of hot anchors, to be cut.
+KNOWN, PLAIN, CUT = "known", "plain", "cut"
 
 
 class _Out:
-    """Rows to send on, a batch at a time."""
+    """Rows to send on, a batch at a time. row: id, k1, k2 of a document."""
 
-    KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.bool_())
-    NAMES = ("k1", "k2", "route", "anchor", "at", "place", "bytes", "ranges", "digest", "local")
+    KINDS = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.string())
+    NAMES = ("id", "k1", "k2", "route", "at", "place", "bytes", "ranges", "kind")
 
     def __init__(self):
         self.rows: list[tuple] = []
-
-    def add(self, k1, k2, route, anchor=None, at=None, place=None, data=None, ranges=None, digest=None, local=None):
-        self.rows.append((k1, k2, route, anchor, at, place, data, ranges, digest, local))
+        self.size = 0
+        self.recent = Recent()
+
+    def known(self, row: tuple, first: int, last: int) -> None:
+        self.rows.append((*row, None, None, None, None, [first, last], KNOWN))
+
+    def add(self, row: tuple, route: int, at: int, place: int, data: bytes, kind: str = PLAIN) -> None:
+        """Surroundings that begin at `at`; all windows of equal ones repeat, and one of them goes on."""
+        own = [row, at]
+        first = self.recent.find((route, place), data, own)
+        if first is None:
+            self.rows.append((*row, route, at, place, data, None, kind))
+            self.size += len(data)
+            return
+        for some in (first, own):
+            if some:
+                self.known(some[0], some[1], some[1] + len(data) - LENGTH)
+        first.clear()  # it is known now
 
     def take(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        if len(self.rows) > least:
+        if len(self.rows) > least or self.size > least << 10:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows, strict=True), self.KINDS, strict=True)], names=list(self.NAMES))
-            self.rows = []
+            self.rows, self.size = [], 0
 
 
 def _signed(x: int) -> int:
@@ -366,121 +433,112 @@ def _signed(x: int) -> int:
 
 
 def surroundings(met: DataFrame) -> DataFrame:
-    """Rows (FOUND) of texts with their repeated runs (id, text, k1, k2, runs of nth and kind): stretches that repeat, surroundings to sort by anchor, digests of windows of hot anchors (one of each that a task holds)."""
+    """Rows (FOUND) of texts with their runs whose anchors occur more than once. met: id, text, k1, k2, runs (nth and hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
-        out = _Out()
-        held: dict[bytes, list[tuple[int, int, int]]] = {}
-
-        def settle() -> None:
-            own: dict[tuple[int, int], list[int]] = {}
-            for key, places in held.items():
-                k1, k2, at = places[0]
-                route, rest = (int.from_bytes(key[i : i + 8], "little", signed=True) for i in (0, 8))
-                out.add(k1, k2, route, at=at, digest=rest, local=len(places) > 1)
-                if len(places) > 1:
-                    for k1, k2, at in places:
-                        own.setdefault((k1, k2), []).extend((at, at))
-            for (k1, k2), found in own.items():
-                out.add(k1, k2, k1, ranges=found)
-            held.clear()
-
+        out, texts = _Out(), Recent()
         for batch in batches:
-            k1s, k2s, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
+            ids, k1s, k2s, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
             data, starts = text_bytes(batch.column(1))
-            for row, (k1, k2) in enumerate(zip(k1s, k2s, strict=True)):
-                if (k1, k2) in done:
+            for n, row in enumerate(zip(ids, k1s, k2s, strict=True)):
+                own = data[starts[n] : starts[n + 1]]
+                if len(own) < LENGTH:  # only if checksums collide
                     continue
-                done.add((k1, k2))
-                kinds = {r["nth"]: r["kind"] for r in wanted[row].as_py()}
-                ranges: list[int] = []
+                this = [row]
+                first = texts.find(None, own.tobytes(), this)
+                if first is not None:  # a whole copy
+                    for some in (first, this):
+                        if some:
+                            out.known(some[0], 0, len(own) - LENGTH)
+                    first.clear()
+                    continue
+                hot = {r["nth"]: r["hot"] for r in wanted[n].as_py()}
                 total = 0
-                for _, runs in pieces(data[starts[row] : starts[row + 1]], np.array([0, starts[row + 1] - starts[row]])):
+                for _, runs in pieces(own, np.array([0, len(own)])):
                     for i in range(len(runs.text)):
-                        kind = kinds.get(total + i)
-                        if kind == 0:
-                            ranges += (int(runs.first[i]), int(runs.last[i]))
-                        elif kind == 1:
-                            anchor = _signed(int(runs.anchor[i]))
-                            out.add(k1, k2, anchor, anchor, int(runs.first[i]), runs.place(i), runs.surroundings(i))
-                        elif kind == 2:
-                            around = runs.surroundings(i)
-                            for j in range(len(around) - LENGTH + 1):
-                                held.setdefault(xxhash.xxh3_128_digest(around[j : j + LENGTH]), []).append((k1, k2, int(runs.first[i]) + j))
+                        kind = hot.get(total + i)
+                        if kind is not None:
+                            out.add(row, _signed(int(runs.anchor[i])), int(runs.first[i]), runs.place(i), runs.surroundings(i), CUT if kind else PLAIN)
                     total += len(runs.text)
-                if ranges:
-                    out.add(k1, k2, k1, ranges=ranges)
-                if len(held) > HELD:
-                    settle()
                 yield from out.take(4000)
-        settle()
         yield from out.take()
 
     return met.select("id", "text", "k1", "k2", "runs").mapInArrow(run, FOUND)
 
 
+def cut_finer(found: DataFrame) -> DataFrame:
+    """Surroundings cut into pieces of `chunk` windows at most, by how far these begin before the anchor; where chunk is null they stay whole.
+
+    A piece goes where the bytes go that all such windows share: from the
+    beginning of the nearest to the end of the farthest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out()
+        for batch in batches:
+            for i, k1, k2, route, at, place, data, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = (i, k1, k2)
+                if chunk is None:
+                    out.add(row, route, at, place, data)
+                    continue
+                low = place - (len(data) - LENGTH)  # windows begin from `place` down to `low` bytes before the anchor
+                for near in range(low // chunk * chunk, place + 1, chunk):
+                    far = near + chunk - 1
+                    first, last = place - min(far, place), place - max(near, low)
+                    to = xxhash.xxh3_64_intdigest(data[place - near : place - far + LENGTH], near)
+                    out.add(row, _signed(to), at + first, place - first, data[first : last + LENGTH])
+            yield from out.take(4000)
+        yield from out.take()
+
+    return found.select("id", "k1", "k2", "route", "at", "place", "bytes", "chunk").mapInArrow(run, FOUND)
+
+
 def stretches(found: DataFrame) -> DataFrame:
-    """Stretches of windows that repeat (k1, k2, ranges). found: FOUND rows, those of a route together and sorted by route, anchor and digest."""
+    """Stretches of windows that repeat (RANGES). found: surroundings, those of a route together and sorted by it."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, list[int]]] = []
-        waiting: list[tuple[int, int, int, int, int, bytes]] = []  # anchor, k1, k2, at, place, bytes
-        same: list[tuple] = []
+        out: list[tuple] = []
+        waiting: list[tuple] = []  # id, k1, k2, route, at, place, bytes
 
         def sort() -> None:
             numbers: dict[int, int] = {}
-            named = [(numbers.setdefault(w[0], len(numbers)), w[4], w[5]) for w in waiting]
-            for (_, k1, k2, at, _, _), marked in zip(waiting, repeated(named), strict=True):
+            named = [(numbers.setdefault(w[3], len(numbers)), w[5], w[6]) for w in waiting]
+            for (i, k1, k2, _, at, _, _), marked in zip(waiting, repeated(named), strict=True):
                 if marked.any():
-                    out.append((k1, k2, ranges_of(marked, at)))
+                    out.append((i, k1, k2, ranges_of(marked, at)))
             waiting.clear()
 
-        def settle() -> None:
-            if len(same) > 1:
-                out.extend((k1, k2, [at, at]) for _, k1, k2, at, local in same if not local)
-            same.clear()
-
         size = 0
         for batch in batches:
-            for k1, k2, _route, anchor, at, place, data, ranges, digest, local in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if ranges is not None:
-                    out.append((k1, k2, ranges))
-                elif data is not None:
-                    if size > SORTED and waiting[-1][0] != anchor:
-                        sort()
-                        size = 0
-                    waiting.append((anchor, k1, k2, at, place, data))
-                    size += len(data) - LENGTH + 1
-                else:
-                    if same and same[0][0] != (_route, digest):
-                        settle()
-                    same.append(((_route, digest), k1, k2, at, local))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > SORTED and waiting[-1][3] != row[3]:
+                    sort()
+                    size = 0
+                waiting.append(row)
+                size += len(row[6]) - LENGTH + 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["k1", "k2", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "k1", "k2", "ranges"])
                 out.clear()
-        settle()
         if waiting:
             sort()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["k1", "k2", "ranges"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "k1", "k2", "ranges"])
 
-    return found.mapInArrow(run, KEYED + "ranges array<int>")
+    return found.select("id", "k1", "k2", "route", "at", "place", "bytes").mapInArrow(run, RANGES)
 
 
 def cut(met: DataFrame, id_col: str, id_type: str) -> DataFrame:
-    """Removes what the stretches cover. met: id, text, copies, ranges (arrays of arrays)."""
+    """Removes what the stretches cover. met: own, text, ranges (arrays of arrays)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, copied, ranges = batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), batch.column(3)
+            texts, ranges = batch.column(1).cast(pa.large_binary()), batch.column(2)
             rows, first, size = [], 0, 0
             for i in range(len(texts)):
                 text = texts[i].as_py()
                 n, own, spans = len(text), ranges[i].as_py(), []
-                if copied[i] and n >= LENGTH:
-                    spans = [0, n]
-                elif own:
+                if own:
                     cover = np.zeros(n + 1, dtype=np.int32)
                     flat = np.array([x for r in own for x in r], dtype=np.int64).reshape(-1, 2)
                     np.add.at(cover, flat[:, 0], 1)
@@ -493,7 +551,7 @@ def cut(met: DataFrame, id_col: str, id_type: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True))], names=[id_col, "n_bytes", "n_removed", "spans", "kept"])
                     rows, first, size = [], i + 1, 0
 
-    return met.select("id", "text", "copied", "ranges").mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_removed long, spans array<long>, kept binary")
+    return met.select("own", "text", "ranges").mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -504,17 +562,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes; a cut may split a character).
 
     Null texts are empty; texts under 200 bytes stay; equal texts of 200 bytes
-    or more go as a whole, all copies; extra columns are ignored; an empty
-    table gives no rows.
+    or more go as a whole, all copies; rows with equal ids or none are told
+    apart by their texts; extra columns are ignored; an empty table gives no
+    rows.
     """
     rows = keyed(docs, id_col, text_col)
-    kinds = anchors(rows)
-    runs = occurrences(rows).join(kinds, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("nth", "kind")).alias("runs"))
-    found = surroundings(rows.join(runs.hint("shuffle_hash"), ["k1", "k2"]))
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranges = stretches(found.select(*_Out.NAMES).repartition(int(parts), "route").sortWithinPartitions("route", "anchor", "digest"))
-    # Digests share a route and a number across tasks only if equal; sorting by route keeps anchors whole.
-    ranges = ranges.groupBy("k1", "k2").agg(F.collect_list("ranges").alias("ranges"))
-    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(True).alias("copied"))
-    marks = ranges.join(copies, ["k1", "k2"], "full").withColumn("copied", F.coalesce("copied", F.lit(False)))
-    return cut(rows.join(marks.hint("shuffle_hash"), ["k1", "k2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False))), id_col, docs.schema[id_col].dataType.simpleString())
+    runs = occurrences(rows).join(anchors(rows), "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("nth", "hot")).alias("runs"))
+    found = written(surroundings(rows.join(runs.hint("shuffle_hash"), ["k1", "k2"])), "surroundings")
+    plain, known = found.where(F.col("kind") == PLAIN), found.where(F.col("kind") == KNOWN)
+    hot = found.where(F.col("kind") == CUT)
+    if hot.limit(1).count():
+        cuts = written(cut_finer(hot.withColumn("chunk", F.lit(CHUNK))), "pieces")
+        some = cuts.where(F.col("kind") == PLAIN)
+        much = some.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("route", F.lit(1).alias("chunk"))
+        finer = written(cut_finer(some.join(much, "route", "left")), "windows")
+        plain = plain.unionByName(finer.where(F.col("kind") == PLAIN))
+        known = known.unionByName(cuts.where(F.col("kind") == KNOWN)).unionByName(finer.where(F.col("kind") == KNOWN))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = stretches(plain.repartition(parts, "route").sortWithinPartitions("route"))
+    ranges = known.select("id", "k1", "k2", "ranges").unionByName(sorted_rows)
+    ranges = ranges.groupBy(F.col("id").alias("r_id"), F.col("k1").alias("r_k1"), F.col("k2").alias("r_k2")).agg(F.collect_set("ranges").alias("ranges"))
+    same = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("k1") == F.col("r_k1")) & (F.col("k2") == F.col("r_k2"))
+    return cut(rows.join(ranges.hint("shuffle_hash"), same, "left"), id_col, docs.schema[id_col].dataType.simpleString())

@@ -230,36 +230,6 @@ def test_shards(docs, spark, tmp_path):
     assert sharding.load_map(spark, folder, 1)["slots"] == [s % 10 for s in range(sharding.SLOTS)]
 
 
-def test_repeats(spark):
-    import random
-
-    rng = random.Random(5)
-    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
-    passage, text = make(450), make(3000)
-    texts = ["", None, "short", text, text, passage + make(300), make(100) + passage, passage[:300] + make(50) + passage[100:], "ab" * 400, make(199), "é" * 150 + make(10)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("k1", F.lit("x"))
-    data = [(t or "").encode() for t in texts]
-    count = {}
-    for b in data:
-        for i in range(len(b) - 199):
-            count[b[i : i + 200]] = count.get(b[i : i + 200], 0) + 1
-    expected = {}
-    for n, b in enumerate(data):
-        gone = set()
-        for i in range(len(b) - 199):
-            if count[b[i : i + 200]] > 1:
-                gone.update(range(i, i + 200))
-        expected[n] = bytes(x for i, x in enumerate(b) if i not in gone)
-    for hot, piece in ((2000, 1 << 21), (1, 1 << 21), (2000, 256)):
-        keep = suffix_dedup.HOT, suffix_dedup.PIECE
-        suffix_dedup.HOT, suffix_dedup.PIECE = hot, piece
-        try:
-            found = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(docs).collect()}
-        finally:
-            suffix_dedup.HOT, suffix_dedup.PIECE = keep
-        assert found == expected
-
-
 def test_suffix_sort_is_a_sort():
     import numpy as np
 
