@@ -1,11 +1,12 @@
 """Mixing sources to target weights by hash-threshold histograms, with DataFrame functions only.
 
-Every document has a place in [0, 1) from a digest of its id: its first hex
-digits name a bucket, the next ones a sub-bucket. Words are summed by source
-and bucket; the bucket in which a source's budget ends is the only one whose
-documents are summed by sub-bucket. What a source takes is then a prefix of
-the digest order, found without sorting any document, and a larger budget
-always takes a superset of a smaller one.
+Every document has a place in [0, 1) from a digest of its id and text, in hex
+digits; the last digits tell equal rows apart. Words are summed by source and
+bucket (the first digits); the bucket in which a source's budget ends is the
+only one whose documents are summed by the next digits, and so on down to the
+last. What a source takes is then a prefix of the digest order, found without
+sorting any document, and a larger budget always takes a superset of a smaller
+one.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Hex digits of a bucket and of a sub-bucket: 4096 of each, whatever the size of the data.
-DIGITS = 3
+#: Hex digits of a place's content, and of the number that tells equal rows apart.
+CONTENT, NUMBER = 12, 4
+#: Digits that name a bucket, level by level: 4096 buckets, 4096 in one of these, and so on, whatever the size of the data.
+LEVELS = (3, 6, CONTENT, CONTENT + NUMBER)
 
 
 def word_count(text: Column) -> Column:
@@ -54,50 +57,52 @@ def target_weights(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     )
 
 
-def places(id_col: str) -> tuple[Column, Column]:
-    """Bucket and sub-bucket of a record."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return F.substring(digest, 1, DIGITS), F.substring(digest, DIGITS + 1, DIGITS)
+def place(id_col: str, text_col: str) -> Column:
+    """A record's place, as hex digits. Equal rows differ in the last ones only, by the number that the scan gives them."""
+    content = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    number = F.lower(F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0"))
+    return F.concat(F.substring(content, 1, CONTENT), F.substring(number, 1, NUMBER))
 
 
 def thresholds(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """What each source takes: source, source_size, target, base (times that every document is taken), edge and last (bucket and sub-bucket up to which documents are taken once more).
+    """What each source takes: source, source_size, target, base (times that every document is taken), last (the place up to which documents are taken once more; null: none).
 
-    rows: source, size, b1, b2. The result has a row per source, is written
-    and so of known size: Spark broadcasts it only below its threshold.
+    rows: source, size, place. The result has a row per source, is written and
+    so of known size: Spark broadcasts it only below its threshold.
     """
-    coarse = written(rows.groupBy("source", "b1").agg(F.sum("size").alias("size")), "mix-histogram")
-    budgets = target_weights(coarse, weights, share, most)
+    first = F.substring("place", 1, LEVELS[0])
+    buckets = written(rows.groupBy("source", first.alias("bucket")).agg(F.sum("size").alias("size")), "mix-histogram")
+    budgets = target_weights(buckets, weights, share, most)
     base = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
     budgets = budgets.withColumn("base", base.cast("long")).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
     budgets = written(budgets, "mix-budgets")
 
-    # The bucket in which each source's remaining budget ends: at most 4096 rows per source.
-    in_order = Window.partitionBy("source").orderBy("b1").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(in_order), F.lit(0))
-    steps = coarse.withColumn("before", before).alias("c").join(budgets.alias("g"), F.expr("c.source <=> g.source"))
-    edge = steps.where("before <= rest AND before + c.size > rest").select("c.source", "c.b1", "before", "rest")
-    edge = written(edge, "mix-edges")
-
-    # Only that bucket is summed by sub-bucket; the last one taken is the last whose middle is within the budget.
-    fine = rows.alias("r").join(edge.alias("e"), F.expr("r.source <=> e.source AND r.b1 = e.b1")).groupBy("e.source", "r.b2").agg(F.sum("r.size").alias("size"), F.first("e.before").alias("start"), F.first("e.rest").alias("rest"))
-    inner = Window.partitionBy("source").orderBy("b2").rowsBetween(Window.unboundedPreceding, -1)
-    fine = fine.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    last = fine.where("before + size / 2 <= rest").groupBy("source").agg(F.max("b2").alias("last"))
-    plan = budgets.alias("g").join(edge.alias("e"), F.expr("g.source <=> e.source"), "left").select("g.source", "source_size", "target", "base", F.col("b1").alias("edge"))
-    plan = plan.alias("p").join(last.alias("l"), F.expr("p.source <=> l.source"), "left").select("p.source", "source_size", "target", "base", "edge", "last")
-    return written(plan, "mix-plan")
-
-
-def copies(base: str, target: str, source_size: str, edge: str, last: str, b1: Column, b2: Column) -> Column:
-    """How often a document of the place (b1, b2) is taken under its source's thresholds."""
-    within = F.col(edge).isNull() | (b1 < F.col(edge)) | ((b1 == F.col(edge)) & (b2 <= F.coalesce(F.col(last), F.lit(""))))
-    return F.col(base) + (within & (F.col(target) > F.col(base) * F.col(source_size))).cast("long")
+    # Of each source only the bucket in which its budget ends is summed by the next digits. At most 4096 rows a source, but
+    # on the third level, where a bucket has the documents of 1 / 16 million of a source.
+    edge = budgets.select("source", "rest", F.lit(0.0).alias("start"))
+    for level, digits in enumerate(LEVELS):
+        if level:
+            near = rows.alias("r").join(edge.alias("e"), F.expr(f"r.source <=> e.source AND substring(r.place, 1, {LEVELS[level - 1]}) = e.bucket"))
+            buckets = near.groupBy(F.col("r.source").alias("source"), F.substring("r.place", 1, digits).alias("bucket")).agg(F.sum("r.size").alias("size"))
+        in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = buckets.withColumn("before", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
+        met = sums.alias("c").join(edge.select("source", "rest", "start").alias("e"), F.expr("c.source <=> e.source")).select("c.source", "c.bucket", "c.size", "e.rest", (F.col("e.start") + F.col("c.before")).alias("start"))
+        if level < len(LEVELS) - 1:
+            edge = written(met.where("start <= rest AND start + size > rest").select("source", "rest", "start", "bucket"), "mix-edges")
+    # The last one taken is the last whose middle is within the budget; if none is, those before the edge are.
+    last = met.where("start + size / 2 <= rest").groupBy("source").agg(F.max("bucket").alias("last"))
+    plan = budgets.alias("g").join(edge.alias("e"), F.expr("g.source <=> e.source"), "left").join(last.alias("l"), F.expr("g.source <=> l.source"), "left")
+    last = F.when(F.col("g.rest") > 0, F.coalesce("l.last", "e.bucket"))
+    return written(plan.select("g.source", "g.source_size", "g.target", "g.base", last.alias("last")), "mix-plan")
+
+
+def copies(base: str, last: str, where: Column) -> Column:
+    """How often a document is taken under its source's threshold."""
+    return F.col(base) + F.coalesce(where <= F.col(last), F.lit(False)).cast("long")
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    b1, b2 = places(id_col)
-    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), b1.alias("b1"), b2.alias("b2")), "mix-sizes")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place(id_col, text_col).alias("place")), "mix-sizes")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -108,25 +113,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each document floor(target / source_size) times, and documents of low
     digest once more, up to the sub-bucket that brings it nearest its target.
 
-    Null texts and null ids are rows like others (size 0; all null ids share
-    one place), a null source is a source, and equal rows get equal results.
-    Documents without words are taken as often as any of their place, or not
-    at all if their source has no words. Extra columns are ignored. An empty
-    table gives an empty result.
+    Null texts (size 0) and null ids are rows like others, a null source is a
+    source. Equal rows share a place but for their number in the scan, so that
+    a budget can end among them: how many of them are taken is the same in
+    every run. Documents without words are taken as often as any of their
+    place, or not at all if their source has no words. Extra columns are
+    ignored. An empty table gives an empty result.
     """
     rows = sized(docs, id_col, text_col, source_col)
     plan = thresholds(rows, weights, share, most)
     met = rows.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"), "left")
-    times = copies("p.base", "p.target", "p.source_size", "p.edge", "p.last", F.col("r.b1"), F.col("r.b2"))
+    times = copies("p.base", "p.last", F.col("r.place"))
     out = met.select(F.col("r.id").alias(id_col), F.col("r.source").alias(source_col), "r.size", "p.source_size", "p.target", times.alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The mix itself: docs with every row as often as the mix takes it, with the columns of docs. Texts are not shuffled."""
+    """The mix itself: docs with every row as often as the mix takes it, with the columns of docs. Texts are not shuffled.
+
+    Null texts, ids and sources, equal rows and an empty table as for mix();
+    equal rows are numbered by the scan of docs, so how many of them a budget
+    that ends among them takes may vary by a few if docs is split anew.
+    """
     plan = thresholds(sized(docs, id_col, text_col, source_col), weights, share, most)
     plan = plan.select(*[F.col(c).alias(f"__mr_{c}") for c in plan.columns])
-    b1, b2 = places(id_col)
-    met = docs.join(plan, docs[source_col].eqNullSafe(F.col("__mr_source")))
-    times = copies("__mr_base", "__mr_target", "__mr_source_size", "__mr_edge", "__mr_last", b1, b2)
+    placed = docs.withColumn("__mr_place", place(id_col, text_col))
+    met = placed.join(plan, placed[source_col].eqNullSafe(F.col("__mr_source")))
+    times = copies("__mr_base", "__mr_last", F.col("__mr_place"))
     return met.withColumn("__mr_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

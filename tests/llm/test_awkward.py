@@ -265,6 +265,23 @@ def test_mix_targets(spark):
     assert all(larger[r.doc_id] >= r.copies for r in rows)  # budgets nest
 
 
+def test_mix_of_rows_without_ids_and_of_equal_rows(spark):
+    rows = [(i if i % 2 else None, "w " * (1 + i % 7), "ab"[i % 2 if i % 3 else 0]) for i in range(4000)] + [(5, "same words here", "c")] * 3000 + [(6 + i, "own words " + "w " * (i % 5), "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for share in (0.4, 1.1, 1.5):
+        found = mixing.mix(docs, share=share).collect()
+        by = {}
+        for r in found:
+            size, target, taken = by.get(r.source, (r.source_size, r.target, 0))
+            by[r.source] = (size, target, taken + r.taken)
+        assert len(found) == len(rows) and all(r.copies <= 2 for r in found)
+        for size, target, taken in by.values():
+            assert abs(taken - target) <= 14  # equal rows are told apart by four digits only
+        again = mixing.mix(docs.repartition(3), share=share).collect()
+        count = lambda rs: sorted((str(r.doc_id), r.size, r.source) for r in rs if r.doc_id != 5 for _ in range(r.copies))
+        assert count(again) == count(found)
+
+
 def test_mix_repeats_rows(docs):
     copies = sorted((str(r.doc_id), r.copies) for r in mixing.mix(docs).collect())
     mixed = mixing.mixed(docs)
