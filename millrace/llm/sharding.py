@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -23,9 +23,28 @@ SLOTS = 8192
 OVERHEAD = 16
 
 
-def slot_of(id_col: str, text_col: str, slots: int = SLOTS):
-    """The virtual slot of a record; the text's checksum takes part, so records without an id spread too."""
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), F.lit(slots)).cast("int")
+def record_key(id_col: str, text_col: str) -> Column:
+    """What places a record; the text's checksum takes part, so records without an id spread too."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def slot_of(key: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record."""
+    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+
+
+def spread(rows: DataFrame, slots: int) -> DataFrame:
+    """rows (key, number, size and more) with their virtual_slot.
+
+    Equal records that together have more bytes than a mean slot would overfill
+    theirs; each of them gets a slot by its number. Fewer than `slots` keys can
+    have that much, so their table is small whatever the rows.
+    """
+    sums = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    total = rows.agg(F.sum("size").alias("bytes")).first().bytes or 0
+    heavy = sums.where((F.col("n") > 1) & (F.col("bytes") > total / slots)).select("key", F.lit(True).alias("heavy"))
+    met = rows.join(F.broadcast(heavy), "key", "left")  # fewer than `slots` rows
+    return met.withColumn("virtual_slot", F.when(F.col("heavy"), slot_of(F.xxhash64("key", "number"), slots)).otherwise(slot_of(F.col("key"), slots))).drop("heavy")
 
 
 def first_map(shards: int, slots: int = SLOTS) -> dict:
@@ -91,9 +110,12 @@ def save_map(spark: SparkSession, folder: str, slot_map: dict) -> str:
 
 
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> dict:
-    """A stored version of a map; the newest if none is named."""
-    rows = spark.read.text(f"{folder}/map-v*.json" if version is None else f"{folder}/map-v{version:06d}.json", wholetext=True).collect()
-    return max((json.loads(r.value) for r in rows), key=lambda m: m["version"])
+    """A stored version of a map; the newest if none is named. Only that one is read."""
+    fs, where = hadoop_path(spark, folder)
+    if version is None:
+        names = [f.getPath().getName() for f in fs.listStatus(where)]
+        version = max(int(n[len("map-v") : -len(".json")]) for n in names if n.startswith("map-v") and n.endswith(".json"))
+    return json.loads(spark.read.text(f"{folder}/map-v{version:06d}.json", wholetext=True).first().value)
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, folder: str | None = None) -> DataFrame:
@@ -107,21 +129,22 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     slot and shifted by what the shard's earlier slots hold, so no task numbers
     a whole shard.
 
-    A null text counts as none, null ids are told apart by their texts, equal
-    rows get places next to one another, extra columns are ignored, and an
-    empty table gives an empty result.
+    A null text counts as none, null ids are told apart by their texts. Equal
+    rows share a slot, unless they have more bytes than a mean slot: then their
+    numbers in the scan spread them. A map in `folder` keeps its count of slots
+    whatever `slots` says. Extra columns are ignored, and an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(id_col, text_col, slots).alias("virtual_slot"))
-    rows = written(rows, "shard-rows")
-    sums = {r.virtual_slot: (r.size, r.n) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     folder = folder or new_path(spark, "shard-maps")
     fs, where = hadoop_path(spark, folder)
-    if fs.exists(where):
-        current = load_map(spark, folder)
-    else:
-        current = first_map(shards, slots)
+    current = load_map(spark, folder) if fs.exists(where) else first_map(shards, slots)
+    slots = len(current["slots"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), record_key(id_col, text_col).alias("key"), F.monotonically_increasing_id().alias("number"))
+    rows = written(spread(written(rows, "shard-keys"), slots).select("id", "size", "text_crc32", "number", "virtual_slot"), "shard-rows")
+    sums = {r.virtual_slot: (r.size, r.n) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    if not fs.exists(where):
         save_map(spark, folder, current)
     chosen = rebalance(current, {s: b for s, (b, _) in sums.items()}, shards)
     save_map(spark, folder, chosen)
@@ -132,6 +155,6 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         filled[to] += sums.get(slot, (0, 0))[1]
     schema = T.StructType([T.StructField("virtual_slot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("start", T.LongType())])
     places = F.broadcast(spark.createDataFrame(starts, schema))  # `slots` rows, always
-    order = Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size")
+    order = Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size", "number")
     numbered = rows.withColumn("nth", F.row_number().over(order) - 1).join(places, "virtual_slot")
     return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"))
