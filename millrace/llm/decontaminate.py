@@ -38,7 +38,7 @@ class Index:
 
     texts: list[bytes] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
-    items: list[list[str]] = field(default_factory=list)
+    items: list[set[str]] = field(default_factory=list)
     hashes: list[np.ndarray] = field(default_factory=list)
 
     def shingles(self, width: int) -> dict[int, np.ndarray]:
@@ -76,7 +76,7 @@ def words_of(texts: list[str | None]) -> Words:
 def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block: int) -> Iterator[Index]:
     """Distinct windows of all items, block after block. Items come one partition at a time; items are dealt by text, so a window of equal items is met once or a few times, and a window in two blocks is found by both."""
     index, known = Index(), {}
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL").orderBy("text", "item")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).orderBy("text", "item")
     for row in rows.toLocalIterator():
         words = words_of([row.text])
         n = len(words.begin)
@@ -87,11 +87,10 @@ def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int,
                 known[text] = len(index.texts)
                 index.texts.append(text)
                 index.sizes.append(m)
-                index.items.append([])
+                index.items.append(set())
                 index.hashes.append(words.hash[at : at + m])
-            own = index.items[known[text]]
-            if row.item not in own:
-                own.append(row.item)
+            if row.item is not None:
+                index.items[known[text]].add(row.item)
         if len(index.texts) >= block:
             yield index
             index, known = Index(), {}
@@ -234,8 +233,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     occurrence of a window), items (ids, as sorted strings, of the items with
     an occurring window), hit_words (numbers of the hit words, from 0).
 
-    Null and empty texts have no words; items without words or without an id
-    have no window; equal items are all named; equal rows get equal results.
+    Null and empty texts have no words; items without words have no window.
+    Windows of items without an id count like any other, but name no item.
+    Equal items are all named; equal rows get equal results.
     Extra columns are ignored. An empty benchmark gives no hits, an empty table
     no rows.
     """
