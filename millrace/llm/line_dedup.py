@@ -24,9 +24,9 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """Lines are compared without blanks around them; blank lines have no key."""
+    """128 bits of a line without blanks around it, so that no two of even 10**12 lines share a key; blank lines have none."""
     bare = F.trim(line)
-    return F.when(bare != "", F.xxhash64(bare))
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("second"), bare).alias("b")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -61,5 +61,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = rows.select("id", "text", F.xxhash64("text").alias("key"))
     met = keyed.join(cuts, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("key") == F.col("cut_key")), "left")
     own = lines_of(F.col("text"))
-    kept = F.when(F.col("cut").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(own, lambda x, i: ~F.array_contains("cut", i)), "\n"))
-    return met.select(F.col("id").alias(id_col), F.size(own).cast("long").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    # Positions that stay come from one set difference, so a text of many lines and many cuts takes no square of them.
+    met = met.withColumn("own", own).withColumn("stay", F.when(F.col("cut").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("own") - 1), "cut")))
+    kept = F.when(F.col("cut").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform("stay", lambda i: F.get("own", i)), "\n"))
+    return met.select(F.col("id").alias(id_col), F.size("own").cast("long").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
