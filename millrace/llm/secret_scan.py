@@ -45,16 +45,23 @@ MORE_RULES = (
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE_RULES + MORE_RULES
-LEDGER = "blob string, rules array<string>, spans array<struct<start: bigint, rank: int, kind: string, end: bigint>>"
+SPANS = "array<struct<start: bigint, rank: int, kind: string, end: bigint>>"
+LEDGER = f"blob string, rules array<string>, spans {SPANS}"
+
+
+#: Matches that one inner step gathers: appending to an array copies it.
+STEP = 256
 
 
 def spans(text: Column, matches: Column, rule: Rule, rank: int) -> Column:
-    """Spans (code points, end exclusive) of a rule's matches, which lie between the pieces that splitting at them leaves."""
+    """Spans (code points, end exclusive) of a rule's matches, which lie between the pieces that splitting at them leaves.
+
+    Matches are gathered STEP at a time and these lists once more, so that a
+    text of very many matches doesn't take the square of them.
+    """
     size = F.length
     found = F.arrays_zip(F.split(text, rule.pattern, -1).alias("piece"), matches.alias("match"))
-    nothing = F.lit(None).cast("array<struct<start: bigint, rank: int, kind: string, end: bigint>>")
-    empty = F.coalesce(nothing, F.array().cast("array<struct<start: bigint, rank: int, kind: string, end: bigint>>"))
-    first = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
+    empty = F.array().cast(SPANS)
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + size(pair["piece"])
@@ -63,7 +70,17 @@ def spans(text: Column, matches: Column, rule: Rule, rank: int) -> Column:
         span = F.struct(start.cast("long").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.cast("long").alias("end"))
         return F.struct(F.coalesce(end, start).cast("long").alias("at"), F.when(pair["match"].isNotNull() & counts, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    return F.when(F.size(matches) == 0, empty).otherwise(F.aggregate(found, first, step)["spans"])
+    def some(state: Column, pairs: Column) -> Column:
+        inner = F.aggregate(pairs, F.struct(state["at"].alias("at"), empty.alias("spans")), step, lambda s: s)
+        # A list of one, so that the inner result is made once and read twice.
+        return F.element_at(F.transform(F.array(inner), lambda s: F.struct(s["at"].alias("at"), F.concat(state["lists"], F.array(s["spans"])).alias("lists"))), 1)
+
+    # Lists of one keep what is read several times from being made several times.
+    starts = lambda pairs: F.sequence(F.lit(1), F.size(pairs), F.lit(STEP))
+    parts = lambda pairs: F.transform(starts(pairs), lambda k: F.slice(pairs, k, F.lit(STEP)))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPANS}>").alias("lists"))
+    gathered = F.element_at(F.transform(F.array(found), lambda pairs: F.aggregate(parts(pairs), first, some)["lists"]), 1)
+    return F.when(F.size(matches) == 0, empty).otherwise(F.flatten(gathered))
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
@@ -78,10 +95,14 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     return staged.select("blob", "rules", F.array_sort(found).alias("spans"))
 
 
+def known(spark: SparkSession, ledger: str) -> bool:
+    fs, where = hadoop_path(spark, ledger)
+    return bool(fs.exists(where))
+
+
 def open_ledger(spark: SparkSession, ledger: str) -> DataFrame:
     """The ledger as it is; an empty one where there is none yet."""
-    fs, where = hadoop_path(spark, ledger)
-    return spark.read.schema(LEDGER).parquet(ledger) if fs.exists(where) else spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(ledger) if known(spark, ledger) else spark.createDataFrame([], LEDGER)
 
 
 def scan_versions(versions: DataFrame, path_cols: list[str], text_col: str = "text", ledger: str | None = None, rules=RULES) -> DataFrame:
@@ -100,17 +121,26 @@ def scan_versions(versions: DataFrame, path_cols: list[str], text_col: str = "te
     ledger = ledger or new_path(spark, "ledger")
     content = F.coalesce(F.col(text_col), F.lit(""))
     blob = F.sha2(content.cast("binary"), 256)
-    texts = versions.select(blob.alias("blob"), content.alias("text")).dropDuplicates(["blob"])
-    seen = open_ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-    unseen = texts.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    texts = versions.select(blob.alias("blob"), content.alias("text"))
+    none = F.array().cast("array<string>")
+    if known(spark, ledger):
+        # Hashes alone decide what lacks a rule; of the texts only these move.
+        seen = open_ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        lacking = versions.select(blob.alias("blob")).distinct().join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", none))
+        lacking = written(lacking.where(F.size(F.array_except(F.array(*[F.lit(r.key) for r in rules]), "seen")) > 0), "lacking")
+        unseen = texts.join(lacking.select("blob"), "blob", "left_semi").dropDuplicates(["blob"]).join(lacking, "blob")
+    else:
+        unseen = texts.dropDuplicates(["blob"]).withColumn("seen", none)
     scan(unseen, rules).write.mode("append").parquet(ledger)
 
     current = open_ledger(spark, ledger).select("blob", F.explode("rules").alias("key"), "spans")
     ranks = {r.key: n for n, r in enumerate(rules)}
     wanted = current.where(F.col("key").isin(list(ranks)))
     kinds = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.kind)])
-    own = wanted.select("blob", F.filter("spans", lambda s: s["kind"] == kinds[F.col("key")]).alias("spans"))
-    by_blob = own.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    own = wanted.select("blob", "key", F.filter("spans", lambda s: s["kind"] == kinds[F.col("key")]).alias("spans")).where(F.size("spans") > 0)
+    # A rule's spans are all in one ledger row; two runs at once may have added it twice.
+    once = own.groupBy("blob", "key").agg(F.first("spans").alias("spans"))
+    by_blob = once.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     # Written: a side of its own lets Spark split the rows of a blob that very many paths hold.
     by_blob = written(by_blob, "findings")
     keyed = versions.select(*path_cols, blob.alias("blob"))

@@ -125,6 +125,21 @@ def test_line_removal(spark):
     assert by_id(line_dedup.remove_boilerplate(docs, min_sites=11), "n_removed")[0] == (0,)
 
 
+def test_many_lines_and_many_secrets_take_no_square(spark):
+    """1e5 lines of which half go, and 1e5 secrets in one text: seconds, where a square would take minutes."""
+    import time
+
+    begin = time.perf_counter()
+    lines = "\n".join(f"shared {i}" if i % 2 else f"own {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(d, lines.replace("own", f"own {d}"), f"s{d}") for d in range(4)], "doc_id long, text string, source string")
+    found = by_id(line_dedup.remove_boilerplate(docs, min_sites=4), "n_lines", "n_removed", "kept")
+    assert found[3][:2] == (100_000, 50_000) and found[3][2] == "\n".join(f"own 3 {i}" for i in range(0, 100_000, 2))
+    text = "token=abcdefghijkl é\n" * 100_000
+    spans = secret_scan.scan_versions(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).first().spans
+    assert [(s.start, s.end) for s in spans] == [(21 * i, 21 * i + 18) for i in range(100_000)]
+    assert time.perf_counter() - begin < 60
+
+
 def test_urls(spark):
     urls = ["HTTP://A.Example.NET/en/x?q#f", "https://example.net?en/", "http://sub.net/", "http://net", "https://x.example.com/de/1", "http://fr.org/fr/", None, "", "no scheme", "http://m.free-bets.example.org/en/1", "://e.net/a", "http://éxample.org/ü#://net/", "http:///path"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("x"))
