@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from millrace.llm import audio_features, decontaminate, line_dedup, mixing, secret_scan, sharding, simhash, suffix_dedup, toxicity, url_filter
 
+from .test_near_duplicates import brute_force
+
 LONG = "some words and more words go on and on here " * 30_000
 CLASH = ("id", "size", "slot", "shard", "score", "fingerprint", "text_key", "line", "pos", "key", "blob", "spans", "k1", "n", "copies", "b1", "virtual_slot", "held_out", "site", "label", "count", "value")
 ROWS = [
@@ -381,17 +383,7 @@ def test_pipeline_stages(spark, tmp_path):
 
     kept = reread(first)
     second = reread(corpus_pipeline.STAGES[1][1](spark, kept, sf))
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"].encode(), 5) for r in rows}
-    group = {i: i for i in prints}
-    for _ in prints:
-        changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 2 and group[b] > group[a]:
-                    group[b], changed = group[a], True
-        if not changed:
-            break
-    assert {r.doc_id for r in second.collect()} == {i for i, g in group.items() if i == g}
+    assert {r.doc_id for r in second.collect()} == brute_force({r["doc_id"]: r["text"] for r in rows})[0]
     third = reread(corpus_pipeline.STAGES[2][1](spark, second, sf))
     hits = decontaminate.decontaminate(second, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert {r.doc_id for r in third.collect()} == {r.doc_id for r in hits.where("n_hit = 0").collect()}
