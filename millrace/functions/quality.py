@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE
+from .text import LETTER, LETTER_OR_NUMBER, SPACE, UNASSIGNED, words
 
 # Listed words, harmful patterns, scripts and their thresholds, and the readability formula.
 PROFANITY = ("badword1", "badword2", "offensive")
@@ -16,10 +16,11 @@ BEYOND_LATIN = r"[^\x{00}-\x{24F}]"
 FLESCH = (206.835, 1.015, 84.6)
 
 
-def profanity(words: Column) -> Column:
-    """The listed words among the lower-cased tokens, each once, sorted."""
-    lowered = F.transform(words, lambda w: F.lower(w))
-    return F.array_sort(F.array_intersect(F.array_distinct(lowered), F.array(*[F.lit(w) for w in PROFANITY])))
+def profanity(text: Column) -> Column:
+    """The listed words among the lower-cased tokens, each once, sorted. Only a text that has one somewhere is split."""
+    low, listed = F.lower(text), F.array(*[F.lit(w) for w in PROFANITY])
+    found = F.array_sort(F.array_intersect(F.array_distinct(words(low)), listed))
+    return F.when(low.rlike("|".join(PROFANITY)), found).otherwise(F.array().cast("array<string>"))
 
 
 def harmful(text: Column) -> Column:
@@ -32,7 +33,7 @@ def harmful(text: Column) -> Column:
 
 def special_ratio(text: Column) -> Column:
     """Share of characters that are neither letters, numbers nor white space."""
-    special = F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{SPACE}]+", ""))
+    special = F.length(F.regexp_replace(text, f"[{LETTER_OR_NUMBER}{SPACE}]+", ""))
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(special / F.length(text))
 
 
@@ -45,7 +46,7 @@ def control_characters(text: Column) -> Column:
 
 
 def unassigned_characters(text: Column) -> Column:
-    return count(text, r"\p{Cn}")
+    return count(text, UNASSIGNED)
 
 
 def language(text: Column) -> Column:
@@ -53,8 +54,8 @@ def language(text: Column) -> Column:
 
     Only texts with characters beyond Latin are counted; of the others one letter tells.
     """
-    letters = count(text, r"\p{L}")
-    found = F.when(~text.rlike(r"\p{L}"), "unknown").when(~text.rlike(BEYOND_LATIN), "en")
+    letters = count(text, f"[{LETTER}]")
+    found = F.when(~text.rlike(f"[{LETTER}]"), "unknown").when(~text.rlike(BEYOND_LATIN), "en")
     for name, pattern in SCRIPTS:
         found = found.when(count(text, pattern) / letters > SCRIPT_SHARE, name)
     return found.when(count(text, r"[\x{00}-\x{24F}]") / letters > LATIN_SHARE, "en").otherwise("unknown")
@@ -67,17 +68,21 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - F.endswith(low, F.lit("e")).cast("int"))
 
 
-def readability(words: Column, n_sentences: Column) -> Column:
-    """Flesch reading ease, from 0 to 100; 0 without words or sentences."""
-    n = F.size(words)
-    total = F.aggregate(words, F.lit(0), lambda a, w: a + syllables(w))
-    score = F.lit(FLESCH[0]) - F.lit(FLESCH[1]) * (n / n_sentences) - F.lit(FLESCH[2]) * (total / n)
-    return F.when((n == 0) | (n_sentences == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+#: A word without vowels, or whose only vowels are the run that its final e ends: it has a syllable less than it counts.
+SHORT = rf"(?<![^{SPACE}])(?=[^{SPACE}])[^aeiouy{SPACE}]*+(?:[aeiouy]*e)?(?![^{SPACE}])"
+
 
+def all_syllables(low: Column) -> Column:
+    """Syllables of all words of a lower-cased text, as syllables() counts them, in three passes over the text: vowel runs never go beyond a word."""
+    return count(low, "[aeiouy]+") - count(low, rf"e(?![^{SPACE}])") + count(low, SHORT)
 
-def unique_words(words: Column) -> Column:
-    return F.size(F.array_distinct(F.transform(words, lambda w: F.lower(w))))
+
+def readability(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
+    """Flesch reading ease, from 0 to 100; 0 without words or sentences."""
+    score = F.lit(FLESCH[0]) - F.lit(FLESCH[1]) * (n_words / n_sentences) - F.lit(FLESCH[2]) * (n_syllables / n_words)
+    return F.when((n_words == 0) | (n_sentences == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
-def letters_in(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
+def letters_in(text: Column) -> Column:
+    """Characters of all words."""
+    return F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long")

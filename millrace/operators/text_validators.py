@@ -88,10 +88,11 @@ def validate_content(df: DataFrame, limits: TextLimits, text_col: str = "text",
     """Listed words are a warning, harmful patterns an error, many special characters a warning."""
     name, columns, text = "content", df.columns, F.col(text_col)
     checks, facts = [], {}
-    df = df.withColumn("__listed", Q.profanity(T.words(text))).withColumn("__harmful", Q.harmful(text))
     if limits.check_profanity:
+        df = df.withColumn("__listed", Q.profanity(text))
         checks.append((F.size("__listed") > 0, I.issue(I.WARNING, "PROFANITY_DETECTED", F.format_string("%d listed words", F.size("__listed")), "content", F.array_join("__listed", ","), name)))
     if limits.check_harmful:
+        df = df.withColumn("__harmful", Q.harmful(text))
         checks.append((F.col("__harmful") > 0, I.issue(I.ERROR, "HARMFUL_CONTENT", F.format_string("%d harmful patterns", F.col("__harmful")), "content", F.col("__harmful"), name)))
     if limits.max_special_ratio is not None:
         df = df.withColumn("__ratio", Q.special_ratio(text))
@@ -250,13 +251,14 @@ def validate_language(df: DataFrame, limits: TextLimits, text_col: str = "text",
 def validate_quality(df: DataFrame, limits: TextLimits | None = None, text_col: str = "text", out: str = "result", data_id: str | None = None) -> DataFrame:
     """Low readability (if a limit is set) and little variety of words are warnings."""
     name, columns, limits = "quality", df.columns, limits or TextLimits()
-    df = measure(df, text_col).withColumn("__unique", Q.unique_words(F.col("__words")))
-    df = df.withColumn("__ease", Q.readability(F.col("__words"), F.col("__n_sentences")))
+    df = df.withColumn("__low", F.lower(text_col)).withColumn("__words", T.words(F.col("__low"))).withColumn("__n_sentences", F.size(T.sentences(F.col(text_col))))
+    df = df.withColumn("__n_words", F.size("__words")).withColumn("__unique", F.size(F.array_distinct("__words"))).withColumn("__syllables", Q.all_syllables(F.col("__low")))
+    df = df.withColumn("__ease", Q.readability(F.col("__n_words"), F.col("__n_sentences"), F.col("__syllables")))
     some = F.col("__n_words") > 0
     df = df.withColumn("__ratio", F.when(some, F.col("__unique") / F.col("__n_words")))
     checks = []
     if limits.min_readability is not None:
         checks.append((F.col("__ease") < limits.min_readability, I.issue(I.WARNING, "LOW_READABILITY", F.format_string("readability %.2f", F.col("__ease")), "readability", F.col("__ease"), name)))
     checks.append((F.coalesce(F.col("__ratio") < limits.min_unique_ratio, F.lit(False)), I.issue(I.WARNING, "LOW_VOCABULARY_DIVERSITY", F.format_string("unique words: %.4f", F.col("__ratio")), validator=name)))
-    facts = {"readability_score": F.col("__ease"), "unique_word_ratio": F.col("__ratio"), "avg_word_length": F.when(some, Q.letters_in(F.col("__words")) / F.col("__n_words")), "unique_word_count": F.when(some, F.col("__unique")), "total_word_count": F.when(some, F.col("__n_words"))}
+    facts = {"readability_score": F.col("__ease"), "unique_word_ratio": F.col("__ratio"), "avg_word_length": F.when(some, Q.letters_in(F.col(text_col)) / F.col("__n_words")), "unique_word_count": F.when(some, F.col("__unique")), "total_word_count": F.when(some, F.col("__n_words"))}
     return _finish(df, text_col, out, name, checks, facts, data_id).select(*columns, out)

@@ -85,10 +85,32 @@ def test_counts_as_in_python(spark, values):
     for value, row in zip(values, df.collect(), strict=True):
         assert row.cc == sum(unicodedata.category(c) == "Cc" and c not in "\n\r\t" for c in value)
         assert row.d == unicodedata.normalize("NFD", value)
-        special = sum(not c.isalnum() and not c.isspace() for c in value)
-        # Letters newer than Java's tables, and numbers that aren't alphanumeric to Python, may count otherwise.
-        known = sum(unicodedata.category(c)[0] in "LN" or c.isspace() for c in value)
-        assert row.r * len(value) in (pytest.approx(special), pytest.approx(len(value) - known))
+        assert row.r * len(value) == pytest.approx(sum(not c.isalnum() and not c.isspace() for c in value))
+
+
+def test_characters_that_java_lacks(spark):
+    """Every code point that Java and Python could take for something else, as U+0870 once was."""
+    known = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    column = F.col("text")
+    found = spark.createDataFrame([(c,) for c in known], "text string").select("text", Q.special_ratio(column).alias("special"), T.tokenize(column, "word").alias("words"), T.remove_numbers(column).alias("numberless"), Q.unassigned_characters(column).alias("cn"), T.strip_accents(column).alias("plain")).collect()
+    assert len(found) == len(known)
+    for r in found:
+        c, kind = r.text, unicodedata.category(r.text)
+        assert r.special == (not c.isalnum() and not c.isspace()), hex(ord(c))
+        assert r.words == re.findall(r"\b\w+\b", c), hex(ord(c))
+        assert r.numberless == re.sub(r"\b\d+\b", " ", c), hex(ord(c))
+        assert r.cn == (kind == "Cn"), hex(ord(c))
+        assert r.plain == "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"), hex(ord(c))
+    assert one(spark, "ࡰ", Q.special_ratio) == 0.0
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aeiouyAEbcxzİß \n\u2003,."), max_size=40), min_size=1, max_size=30))
+def test_syllables_of_texts_are_those_of_words(spark, values):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, text string").select("i", Q.all_syllables(F.lower("text")).alias("n"), T.words(F.col("text")).alias("words"), Q.letters_in(F.col("text")).alias("letters")).orderBy("i")
+    each = df.select("i", F.explode_outer("words").alias("w")).groupBy("i").agg(F.coalesce(F.sum(F.when(F.col("w").isNotNull(), Q.syllables(F.col("w")))), F.lit(0)).alias("n")).orderBy("i").collect()
+    for row, expected, value in zip(df.collect(), each, values, strict=True):
+        assert row.n == expected.n and row.letters == len("".join(value.split()))
 
 
 def test_syllables_and_language(spark):
