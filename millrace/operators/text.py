@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
 from ..workspace import written
 
+#: A vocabulary of up to so many bytes goes to every executor; a larger one is joined.
+LOOKUP_BYTES = 64 << 20
+
 
 def clean(df: DataFrame, text_col: str = "text", config: T.TextConfig | None = None, out: str = "cleaned") -> DataFrame:
     """Adds the cleaned text. Each step is a projection of its own, so that Spark doesn't repeat it where a later step reads it twice. Null stays null."""
@@ -34,7 +43,8 @@ def preprocess(df: DataFrame, text_col: str = "text", config: T.TextConfig | Non
 def build_vocabulary(df: DataFrame, tokens: str = "tokens", order: str = "ord", min_freq: int = 1) -> DataFrame:
     """Tokens and ids (token, id, freq): the special tokens first, then tokens by falling frequency, ties by first occurrence in `order`.
 
-    Tokens are counted before they are shuffled. Special tokens in the texts
+    Tokens are counted before they are shuffled, and rows of equal order have
+    the smaller place first. Special tokens in the texts
     keep the later id only, as a dictionary that is filled in this order would.
     Ranking needs a total order: the numbers come from ranges of the sorted
     vocabulary, so that no task holds all of it.
@@ -42,13 +52,25 @@ def build_vocabulary(df: DataFrame, tokens: str = "tokens", order: str = "ord",
     spark = df.sparkSession
     # Outer, as Spark would otherwise derive a filter on the tokens and compute them twice.
     seen = df.select(F.col(order).alias("ord"), F.posexplode_outer(tokens).alias("pos", "token")).where(F.col("token").isNotNull())
-    counted = seen.groupBy("token").agg(F.count("*").alias("freq"), F.min(F.struct("ord", "pos")).alias("first")).where(F.col("freq") >= min_freq)
-    ranked = number_rows(counted, [F.desc("freq"), F.asc("first.ord"), F.asc("first.pos")], "n")
+    seen = seen.select("token", _first_place(df, tokens, order).alias("place"))
+    counted = seen.groupBy("token").agg(F.count("*").alias("freq"), F.min("place").alias("first")).where(F.col("freq") >= min_freq)
+    ranked = number_rows(counted, [F.desc("freq"), F.asc("first"), F.asc("token")], "n")
     found = ranked.select("token", (F.col("n") + len(T.SPECIAL_TOKENS)).cast("long").alias("id"), "freq")
     special = spark.createDataFrame([(t, i, 0) for i, t in enumerate(T.SPECIAL_TOKENS)], "token string, id long, freq long")
     return special.join(found.select("token"), "token", "left_anti").unionByName(found)
 
 
+def _first_place(df: DataFrame, tokens: str, order: str) -> Column:
+    """ord and pos as one number where they fit into one (Spark aggregates numbers by hash, structs by sorting), else as a struct."""
+    if isinstance(df.schema[order].dataType, S.IntegralType):
+        high, low, longest = df.agg(F.max(order), F.min(order), F.max(F.size(tokens))).first()
+        bits = max(longest or 0, 1).bit_length()
+        if max(abs(high or 0), abs(low or 0)) < 1 << (62 - bits):
+            # A null order comes first, as it does in a struct.
+            return F.when(F.col("ord").isNull(), F.lit(-(1 << 62)) + F.col("pos")).otherwise(F.col("ord").cast("long") * F.lit(1 << bits) + F.col("pos"))
+    return F.struct("ord", "pos")
+
+
 def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Numbers all rows from 0 in a total order, range by range: a row's number is that in its range and the sizes of the ranges before. The ranges are written, as another run could draw them elsewhere."""
     ranged = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
@@ -73,24 +95,66 @@ def decode(df: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids", out
 
 
 def _mapped(df: DataFrame, vocabulary: DataFrame, key: str, values: str, source: str, target: str, missing: Column, out: str) -> DataFrame:
-    pairs = vocabulary.select(F.col(source).alias("__value"), F.col(target).alias("__target"))
-    rows = df.select(F.col(key), F.posexplode_outer(values).alias("__pos", "__value"))
-    met = rows.join(pairs, "__value", "left").withColumn("__target", F.when(F.col("__pos").isNotNull(), F.coalesce("__target", missing)))
-    item = F.when(F.col("__pos").isNotNull(), F.struct("__pos", "__target"))
-    grouped = met.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    return grouped.select(key, F.transform("__items", lambda x: x["__target"]).alias(out))
+    """A row for each row of df, whatever its key: the key and the values' targets in order; null values have none."""
+    pairs = vocabulary.select(F.col(source).alias("__value"), F.col(target).alias("__target")).where(F.col("__value").isNotNull())
+    text = "__value" if source == "token" else "__target"
+    size = pairs.agg(F.sum(F.octet_length(text) + 16)).first()[0] or 0
+    if size <= LOOKUP_BYTES:
+        return _looked_up(df, pairs, key, values, missing, out)
+    # Rows get numbers of their own, as keys may repeat; written, as another run could number them otherwise.
+    rows = written(df.select(F.col(key), F.col(values).alias("__values"), F.monotonically_increasing_id().alias("__row")), "rows")
+    each = rows.select("__row", F.posexplode("__values").alias("__pos", "__value"))
+    met = each.join(pairs, "__value", "left").select("__row", F.struct("__pos", F.coalesce("__target", missing).alias("__target")).alias("__item"))
+    grouped = met.groupBy("__row").agg(F.array_sort(F.collect_list("__item")).alias("__items"))
+    none = F.array().cast(S.ArrayType(pairs.schema["__target"].dataType))
+    return rows.join(grouped, "__row", "left").select(key, F.coalesce(F.transform("__items", lambda x: x["__target"]), none).alias(out))
+
+
+def _looked_up(df: DataFrame, pairs: DataFrame, key: str, values: str, missing: Column, out: str) -> DataFrame:
+    """_mapped() by a table of checked size in every task: nothing is exploded or shuffled."""
+    table = pairs.toArrow()
+    keys, targets = (table[c].combine_chunks() for c in ("__value", "__target"))
+    buffer = pa.BufferOutputStream()
+    unknown = pa.array([df.sparkSession.range(1).select(missing.alias("m")).first().m], targets.type)
+    with pa.ipc.new_stream(buffer, pa.schema([("keys", keys.type), ("targets", targets.type)])) as stream:
+        stream.write_batch(pa.record_batch([pa.concat_arrays([keys, pa.nulls(1, keys.type)]), pa.concat_arrays([targets, unknown])], names=["keys", "targets"]))
+    sent = df.sparkSession.sparkContext.broadcast(buffer.getvalue().to_pybytes())  # LOOKUP_BYTES at most
+    kinds = S.StructType([df.schema[key], S.StructField(out, S.ArrayType(pairs.schema["__target"].dataType))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.ipc.open_stream(sent.value).read_all()
+        keys, targets = (known[c].combine_chunks() for c in ("keys", "targets"))
+        last = len(keys) - 1  # the one for what is unknown
+        for batch in batches:
+            lists = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            # Distinct values are looked up once each.
+            coded = lists.flatten().cast(keys.type).dictionary_encode()
+            place = pc.fill_null(pc.index_in(coded.dictionary, keys.slice(0, last)), last).to_numpy(zero_copy_only=False)
+            codes = pc.fill_null(coded.indices, len(place)).to_numpy(zero_copy_only=False)
+            taken = targets.take(pa.array(np.append(place, last)[codes]))
+            ends = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, taken)], names=[key, out])
+
+    return df.select(key, values).mapInArrow(run, kinds)
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row about raw texts: how many, average, least and most characters, average words, all characters, distinct words. Without texts all are 0."""
-    measured = df.where(F.col(text_col).isNotNull()).select(F.length(text_col).alias("chars"), T.words(F.col(text_col)).alias("words"))
-    totals = measured.agg(
-        F.count("*").alias("total_texts"),
-        F.coalesce(F.avg("chars"), F.lit(0.0)).alias("avg_length"),
-        F.coalesce(F.min("chars"), F.lit(0)).cast("long").alias("min_length"),
-        F.coalesce(F.max("chars"), F.lit(0)).cast("long").alias("max_length"),
-        F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("avg_words"),
-        F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("total_chars"),
+    """One row about raw texts: how many, average, least and most characters, average words, all characters, distinct words. Without texts all are 0.
+
+    One pass: a text's own numbers go with its first distinct word.
+    """
+    measured = df.where(F.col(text_col).isNotNull()).select(F.length(text_col).cast("long").alias("chars"), T.words(F.col(text_col)).alias("words"))
+    each = measured.select("chars", F.size("words").cast("long").alias("n"), F.posexplode_outer(F.array_distinct("words")).alias("pos", "word"))
+    own = lambda c: F.when(F.coalesce("pos", F.lit(0)) == 0, c)
+    by_word = each.groupBy("word").agg(F.count(own(F.lit(1))).alias("texts"), F.sum(own(F.col("chars"))).alias("chars"), F.min(own(F.col("chars"))).alias("least"), F.max(own(F.col("chars"))).alias("most"), F.sum(own(F.col("n"))).alias("n"))
+    per = lambda c: F.coalesce(F.sum(c) / F.sum("texts"), F.lit(0.0))
+    return by_word.agg(
+        F.coalesce(F.sum("texts"), F.lit(0)).alias("total_texts"),
+        per("chars").alias("avg_length"),
+        F.coalesce(F.min("least"), F.lit(0)).alias("min_length"),
+        F.coalesce(F.max("most"), F.lit(0)).alias("max_length"),
+        per("n").alias("avg_words"),
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("total_chars"),
+        F.count("word").alias("vocabulary_size"),
     )
-    distinct = measured.select(F.explode_outer("words").alias("word")).where(F.col("word").isNotNull()).distinct().agg(F.count("*").alias("vocabulary_size"))
-    return totals.crossJoin(distinct)  # two rows in all

@@ -16,7 +16,7 @@ from ..operators import schema_rules as H
 from ..operators import text_validators as V
 from ..session import table
 from ..sources import catalog, storage
-from ..workspace import new_path
+from ..workspace import new_path, written
 from .pipeline import Chain, Pipeline, PipelineConfig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,7 +124,8 @@ v AS (SELECT token, row_number() OVER (ORDER BY freq DESC, first) + 3 AS id, fre
 
 
 def _tokenized(spark, sf_dir):
-    return text.preprocess(docs(spark, sf_dir)).select(F.col("doc_id").alias("ord"), "tokens")
+    """Tokens are used several times: written, they are computed once."""
+    return written(text.preprocess(docs(spark, sf_dir)).select(F.col("doc_id").alias("ord"), "tokens"), "tokens")
 
 
 @query(VOCABULARY + " SELECT token, CAST(id AS BIGINT) AS id, CAST(freq AS BIGINT) AS freq FROM v")
@@ -215,7 +216,8 @@ l AS (SELECT doc_id, CASE WHEN letters = 0 THEN 'unknown' WHEN zh / letters > 0.
 SELECT doc_id, 'passed' AS status, CASE WHEN language NOT IN ('en', 'unknown') THEN 'LANGUAGE_NOT_ALLOWED' ELSE '' END AS codes, language FROM l""")
 def validate_language(spark, sf_dir):
     found = V.validate_language(docs(spark, sf_dir), LIMITS)
-    return _judged(found).join(found.select("doc_id", F.element_at("result.metadata", "detected_language").alias("language")), "doc_id")
+    codes = F.array_join(F.transform("result.issues", lambda i: i["code"]), ",")
+    return found.select("doc_id", F.col("result.status").alias("status"), codes.alias("codes"), F.element_at("result.metadata", "detected_language").alias("language"))
 
 
 @query(rf"""
@@ -412,7 +414,7 @@ def parquet_round_trip(spark, sf_dir):
 def json_round_trip(spark, sf_dir):
     path = new_path(spark, "json")
     storage.write_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
-    return spark.read.schema("n_nationkey int, n_name string").json(path)
+    return storage.read_json(spark, path, schema="n_nationkey int, n_name string", lines=True)
 
 
 # Tensors. Embeddings stand for signals and, in thousandths, for pixels.

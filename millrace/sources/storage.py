@@ -92,9 +92,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON documents, one to a file or an array of records."""
-    return spark.read.json(path, schema=schema, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema=None, lines: bool = False) -> DataFrame:
+    """JSON documents, one to a file or an array of records; with lines, one to a line, as write_json() leaves them."""
+    return spark.read.json(path, schema=schema, multiLine=not lines)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

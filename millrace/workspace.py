@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, a folder of our own in local mode (tests), an error elsewhere."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found and context._jsc.sc().getCheckpointDir().isDefined():
         found = context._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")

@@ -132,6 +132,29 @@ def test_vocabulary_order_and_round_trip(spark):
         text.encode(df, vocabulary.limit(0), "ord")
 
 
+@pytest.mark.parametrize("limit", [text.LOOKUP_BYTES, 0], ids=["looked up", "joined"])
+def test_rows_of_equal_or_no_key_stay_apart(spark, monkeypatch, limit):
+    monkeypatch.setattr(text, "LOOKUP_BYTES", limit)
+    rows = [(1, ["a", "b"]), (1, ["a", "c"]), (None, ["a"]), (None, ["b", None, "zz"]), (2, []), (2, None)]
+    df = spark.createDataFrame(rows, "ord long, tokens array<string>").repartition(3)
+    vocabulary = text.build_vocabulary(df)
+    ids = {r.token: r.id for r in vocabulary.collect()}
+    found = text.encode(df, vocabulary, "ord")
+    expected = [(k, [ids.get(t, 1) for t in ts or []]) for k, ts in rows]
+    assert sorted(map(str, expected)) == sorted(str((r.ord, r.ids)) for r in found.collect())
+    back = [(k, [t if t in ids else "<UNK>" for t in ts or []]) for k, ts in rows]
+    assert sorted(map(str, back)) == sorted(str((r.ord, r.tokens)) for r in text.decode(found, vocabulary, "ord").collect())
+
+
+def test_vocabulary_of_any_order(spark):
+    rows = [(3, ["x", "y"]), (1, ["z", "w", "x"]), (None, ["q", "z"]), (2, ["w"])]
+    # By frequency, then by first occurrence; a null order comes first.
+    for kind, big in (("long", 0), ("long", 1 << 61), ("string", 0)):
+        df = spark.createDataFrame([(None if k is None else str(k) if kind == "string" else k + big, t) for k, t in rows], f"ord {kind}, tokens array<string>")
+        found = [r.token for r in text.build_vocabulary(df).where("id > 3").orderBy("id").collect()]
+        assert found == ["z", "w", "x", "q", "y"]
+
+
 def test_statistics_of_nothing(spark):
     row = text.statistics(spark.createDataFrame([], "text string")).first()
     assert (row.total_texts, row.avg_length, row.vocabulary_size) == (0, 0.0, 0)
