@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import audio, images, issues, sampling, text, video
 from ..operators import schema_rules as H
 from ..operators import text_validators as V
-from ..session import table
+from ..session import spread, table
 from ..sources import catalog, storage
 from ..workspace import new_path, written
 from .pipeline import Chain, Pipeline, PipelineConfig
@@ -48,7 +48,7 @@ SENTENCES = rf"len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: reg
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query(CLEAN + " SELECT doc_id, cleaned, len(cleaned) AS n FROM c")
@@ -233,7 +233,7 @@ def validate_quality(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN props IS NULL THEN 'failed' WHEN json_valid(props) THEN 'passed' ELSE 'failed' END AS status, CASE json_type(props) WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' END AS json_type, CAST(len(json_keys(props)) AS BIGINT) AS json_keys FROM events")
 def validate_json(spark, sf_dir):
-    found = V.validate_format(table(spark, sf_dir, "events"), "json", text_col="props")
+    found = V.validate_format(spread(table(spark, sf_dir, "events")), "json", text_col="props")
     fact = lambda k: F.element_at("result.metadata", k)
     return found.select("event_id", F.col("result.status").alias("status"), fact("json_type").alias("json_type"), fact("json_keys").cast("long").alias("json_keys"))
 
@@ -295,7 +295,7 @@ def schema_orders(spark, sf_dir):
 SELECT event_id, concat_ws(',', CASE WHEN CAST(props->>'k' AS BIGINT) > 50 THEN 'VALUE_ABOVE_MAX@k' END, 'MISSING_REQUIRED_FIELD@name') AS codes, 'failed' AS status FROM events""")
 def schema_events_json(spark, sf_dir):
     rules = H.SchemaBuilder("props").add_integer("k", max_value=50).add_string("name").add_string("note", required=False).build()
-    return _schema_result(H.validate_json(table(spark, sf_dir, "events"), rules, "props"), "event_id")
+    return _schema_result(H.validate_json(spread(table(spark, sf_dir, "events")), rules, "props"), "event_id")
 
 
 @query("SELECT vec_id, CASE WHEN len(embedding) > 60 THEN 'TOO_MANY_ITEMS@embedding' ELSE '' END AS codes, CASE WHEN len(embedding) > 60 THEN 'failed' ELSE 'passed' END AS status FROM embeddings")
@@ -421,7 +421,7 @@ def json_round_trip(spark, sf_dir):
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings")
+    return spread(table(spark, sf_dir, "embeddings"))
 
 
 PIXELS = "list_transform(embedding, lambda x: abs(floor(x::DOUBLE * 1000)) % 256)"

@@ -27,3 +27,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, read by path so that filters and columns reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it is too small to occupy them by itself, as one file with one row group is.
+
+    Only what is below a scan task's share for each core is moved; a larger
+    input is left as the scan splits it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    share = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * share else df
