@@ -153,6 +153,7 @@ def normalize(samples: np.ndarray, how: str | None, level: float = 1.0) -> np.nd
     return samples * np.float32(level / size) if size > 0 else samples
 
 
+@functools.lru_cache(8)
 def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
@@ -220,6 +221,7 @@ def decibels(power: np.ndarray, reference: float | None = None, top: float = 80.
     return np.maximum(out, out.max() - top).astype(np.float32)
 
 
+@functools.lru_cache(8)
 def mel_filters(rate: int, n_fft: int, n_mels: int, fmin: float = 0.0, fmax: float | None = None) -> np.ndarray:
     """Triangles of equal area on a scale that is linear to 1 kHz and logarithmic above."""
     step, knee = 200 / 3, 1000.0
@@ -236,13 +238,19 @@ def mel_power(samples: np.ndarray, rate: int, n_fft: int = 2048, hop: int = 512,
     return mel_filters(rate, n_fft, n_mels, fmin, fmax) @ np.abs(stft(samples, n_fft, hop, window)) ** 2
 
 
-def mfcc(samples: np.ndarray, rate: int, n_mfcc: int = 40, n_fft: int = 2048, hop: int = 512, n_mels: int = 128, fmin: float = 0.0, fmax: float | None = None) -> np.ndarray:
-    """Orthonormal cosine transform (type 2) of log-mel energies. The window length isn't taken into account."""
-    logs = decibels(mel_power(samples, rate, n_fft, hop, n_mels, fmin, fmax), 1.0)
+@functools.lru_cache(8)
+def cosines(n_mfcc: int, n_mels: int) -> np.ndarray:
+    """The orthonormal cosine transform (type 2)."""
     k, n = np.arange(n_mfcc)[:, None], np.arange(n_mels)[None]
     basis = np.sqrt(2 / n_mels) * np.cos(np.pi * k * (2 * n + 1) / (2 * n_mels))
     basis[0] /= np.sqrt(2)
-    return (basis @ logs).astype(np.float32)
+    return basis
+
+
+def mfcc(samples: np.ndarray, rate: int, n_mfcc: int = 40, n_fft: int = 2048, hop: int = 512, n_mels: int = 128, fmin: float = 0.0, fmax: float | None = None) -> np.ndarray:
+    """Orthonormal cosine transform (type 2) of log-mel energies. The window length isn't taken into account."""
+    logs = decibels(mel_power(samples, rate, n_fft, hop, n_mels, fmin, fmax), 1.0)
+    return (cosines(n_mfcc, n_mels) @ logs).astype(np.float32)
 
 
 def feature(samples: np.ndarray, rate: int, config: AudioConfig) -> np.ndarray:

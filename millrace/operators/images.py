@@ -28,6 +28,7 @@ class ImageConfig:
     keep_aspect: bool = False
     to_rgb: bool = True
     grayscale: bool = False
+    normalize: bool = True  # else pixels stay bytes' values
     pixel_range: str = "0-1"
     mean: tuple[float, ...] | None = None
     std: tuple[float, ...] | None = None
@@ -173,13 +174,18 @@ def weights(method: str, source: int, target: int) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
+def fitted(w: int, h: int, width: int, height: int) -> tuple[int, int]:
+    """The size of a w x h image that fills one side of width x height; the other is cut to whole pixels."""
+    aspect = w / h
+    if aspect > width / height:
+        return width, max(1, int(width / aspect))
+    return max(1, int(height * aspect)), height
+
+
 def resize(pixels: np.ndarray, width: int, height: int, method: str = "bicubic", keep_aspect: bool = False) -> np.ndarray:
     """To width x height; keeping the aspect, the image is fitted and centred on black."""
     h, w = pixels.shape[:2]
-    new_w, new_h = width, height
-    if keep_aspect:
-        ratio = min(width / w, height / h)
-        new_w, new_h = max(1, int(w * ratio)), max(1, int(h * ratio))
+    new_w, new_h = fitted(w, h, width, height) if keep_aspect else (width, height)
     scaled = np.einsum("yh,hwc->ywc", weights(method, h, new_h), pixels.astype(np.float64))
     scaled = np.einsum("xw,ywc->yxc", weights(method, w, new_w), scaled)
     scaled = np.clip(np.floor(scaled + 0.5), 0, 255).astype(np.uint8)
@@ -192,20 +198,22 @@ def resize(pixels: np.ndarray, width: int, height: int, method: str = "bicubic",
 
 
 def rotate(pixels: np.ndarray, degrees: float) -> np.ndarray:
-    """Around the centre, bilinear, black outside."""
+    """Around the centre, bicubic, black outside; neighbours beyond the border are those on it."""
     h, w = pixels.shape[:2]
     turn = np.deg2rad(degrees)
-    y, x = np.mgrid[0:h, 0:w].astype(np.float64)
-    cy, cx = (h - 1) / 2, (w - 1) / 2
-    sx = np.cos(turn) * (x - cx) - np.sin(turn) * (y - cy) + cx
-    sy = np.sin(turn) * (x - cx) + np.cos(turn) * (y - cy) + cy
-    padded = np.pad(pixels.astype(np.float64), ((1, 2), (1, 2), (0, 0)))
-    inside = (sx > -1) & (sx < w) & (sy > -1) & (sy < h)
-    sx, sy = np.where(inside, sx, -1) + 1, np.where(inside, sy, -1) + 1
-    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    fx, fy = (sx - x0)[:, :, None], (sy - y0)[:, :, None]
-    mixed = (padded[y0, x0] * (1 - fx) + padded[y0, x0 + 1] * fx) * (1 - fy) + (padded[y0 + 1, x0] * (1 - fx) + padded[y0 + 1, x0 + 1] * fx) * fy
-    return np.clip(np.floor(mixed + 0.5), 0, 255).astype(np.uint8)
+    y, x = np.mgrid[0:h, 0:w].astype(np.float64) + 0.5
+    sx = np.cos(turn) * (x - w / 2) - np.sin(turn) * (y - h / 2) + w / 2
+    sy = np.sin(turn) * (x - w / 2) + np.cos(turn) * (y - h / 2) + h / 2
+    inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
+    x0, y0 = np.floor(sx - 0.5).astype(int), np.floor(sy - 0.5).astype(int)
+    source, out = pixels.astype(np.float64), np.zeros(pixels.shape)
+    for j in range(-1, 3):
+        wy = kernel("bicubic", sy - 0.5 - (y0 + j))
+        row = np.clip(y0 + j, 0, h - 1)
+        for i in range(-1, 3):
+            wx = kernel("bicubic", sx - 0.5 - (x0 + i))
+            out += source[row, np.clip(x0 + i, 0, w - 1)] * (wx * wy)[:, :, None]
+    return np.where(inside[:, :, None], np.clip(np.floor(out + 0.5), 0, 255), 0).astype(np.uint8)
 
 
 def augment(pixels: np.ndarray, config: ImageConfig, rng: np.random.Generator) -> np.ndarray:
@@ -219,7 +227,7 @@ def augment(pixels: np.ndarray, config: ImageConfig, rng: np.random.Generator) -
     if config.brightness:
         pixels = np.clip(pixels * rng.uniform(*config.brightness), 0, 255).astype(np.uint8)
     if config.contrast:
-        grey = float(np.floor(pixels.mean() + 0.5))
+        grey = float(np.floor((luminance(pixels) if pixels.shape[2] == 3 else pixels).mean() + 0.5))
         pixels = np.clip(grey + (pixels.astype(np.float64) - grey) * rng.uniform(*config.contrast), 0, 255).astype(np.uint8)
     return pixels
 
@@ -234,7 +242,8 @@ def process_one(data: bytes, config: ImageConfig, key: int = 0) -> np.ndarray:
     pixels = convert(decode(data), config.to_rgb, config.grayscale)
     if config.size:
         pixels = resize(pixels, *config.size, config.method, config.keep_aspect)
-    out = normalize(augment(pixels, config, np.random.default_rng((config.seed, key & 0x7FFFFFFFFFFFFFFF))), config.pixel_range, config.mean, config.std)
+    out = augment(pixels, config, np.random.default_rng((config.seed, key & 0x7FFFFFFFFFFFFFFF)))
+    out = normalize(out, config.pixel_range, config.mean, config.std) if config.normalize else out.astype(np.float32)
     return np.transpose(out, (2, 0, 1)) if config.layout == "chw" else out
 
 

@@ -29,6 +29,7 @@ class VideoConfig:
     keep_aspect: bool = False
     to_rgb: bool = True
     grayscale: bool = False
+    normalize: bool = True  # else pixels stay bytes' values
     pixel_range: str = "0-1"
     mean: tuple[float, ...] | None = None
     std: tuple[float, ...] | None = None
@@ -36,26 +37,37 @@ class VideoConfig:
     seed: int = 0
 
 
-def decode_y4m(data: bytes) -> tuple[np.ndarray, float]:
-    """Frames (time x height x width x RGB) and rate of a 4:4:4 YUV4MPEG2 stream."""
+def planes_of(data: bytes) -> tuple[np.ndarray, float]:
+    """Colour planes (time x 3 x height x width) and rate of a 4:4:4 YUV4MPEG2 stream."""
     head, _, rest = data.partition(b"\n")
     fields = {f[:1]: f[1:] for f in head.split()[1:]}
     width, height = int(fields[b"W"]), int(fields[b"H"])
     over, _, under = fields.get(b"F", b"25:1").partition(b":")
     if not fields.get(b"C", b"").startswith(b"444"):
         raise ValueError("only 4:4:4 streams")
-    n, frames = width * height * 3, []
-    while rest.startswith(b"FRAME"):
-        rest = rest.partition(b"\n")[2]
-        y, u, v = np.frombuffer(rest, np.uint8, n).reshape(3, height, width).astype(np.float32)
-        rgb = np.stack([y + 1.402 * (v - 128), y - 0.344136 * (u - 128) - 0.714136 * (v - 128), y + 1.772 * (u - 128)], axis=-1)
-        frames.append(np.clip(np.floor(rgb + 0.5), 0, 255).astype(np.uint8))
-        rest = rest[n:]
+    at, n, frames = len(head) + 1, width * height * 3, []
+    while data.startswith(b"FRAME", at):
+        at = data.index(b"\n", at) + 1
+        frames.append(np.frombuffer(data, np.uint8, n, at).reshape(3, height, width))
+        at += n
     if not frames:
         raise ValueError("a video without frames")
     return np.stack(frames), int(over) / int(under)
 
 
+def decode_y4m(data: bytes) -> tuple[np.ndarray, float]:
+    """Frames (time x height x width x RGB) and rate of a 4:4:4 YUV4MPEG2 stream."""
+    planes, fps = planes_of(data)
+    y, u, v = (planes[:, i].astype(np.float32) for i in range(3))
+    rgb = np.stack([y + 1.402 * (v - 128), y - 0.344136 * (u - 128) - 0.714136 * (v - 128), y + 1.772 * (u - 128)], axis=-1)
+    return np.clip(np.floor(rgb + 0.5), 0, 255).astype(np.uint8), fps
+
+
+def probe_y4m(data: bytes) -> tuple[int, float, int, int]:
+    planes, fps = planes_of(data)
+    return len(planes), fps, planes.shape[3], planes.shape[2]
+
+
 def encode_y4m(frames: np.ndarray, fps: int = 25) -> bytes:
     """RGB frames as a 4:4:4 YUV4MPEG2 stream."""
     t, h, w, _ = frames.shape
@@ -72,6 +84,18 @@ def encode_y4m(frames: np.ndarray, fps: int = 25) -> bytes:
 DECODERS: dict[bytes, Callable[[bytes], tuple[np.ndarray, float]]] = {b"YUV4MPEG2": decode_y4m}
 
 
+#: By the same bytes, how to tell frames, rate, width and height without decoding; where there is none a video is decoded for it.
+PROBES: dict[bytes, Callable[[bytes], tuple[int, float, int, int]]] = {b"YUV4MPEG2": probe_y4m}
+
+
+def probe(data: bytes) -> tuple[int, float, int, int]:
+    found = next((run for magic, run in PROBES.items() if data.startswith(magic)), None)
+    if found:
+        return found(data)
+    frames, fps = decode(data)
+    return len(frames), fps, frames.shape[2], frames.shape[1]
+
+
 def decode(data: bytes) -> tuple[np.ndarray, float]:
     found = next((run for magic, run in DECODERS.items() if data.startswith(magic)), None)
     if found is None:
@@ -85,10 +109,9 @@ def header(contents: pd.Series) -> pd.DataFrame:
 
     def one(data):
         try:
-            frames, fps = decode(data)
+            return *probe(data), None
         except Exception as error:  # the row's own failure
             return None, None, None, None, str(error) or type(error).__name__
-        return len(frames), fps, frames.shape[2], frames.shape[1], None
 
     return pd.DataFrame([one(d) for d in contents], columns=["frames", "fps", "width", "height", "error"]).astype({"frames": "Int32", "width": "Int32", "height": "Int32"})
 
@@ -124,7 +147,7 @@ def process_frame(pixels: np.ndarray, config: VideoConfig) -> np.ndarray:
         pixels = images.luminance(pixels)[:, :, None]
     if config.size:
         pixels = images.resize(pixels, *config.size, "bilinear", config.keep_aspect)
-    if config.pixel_range in PIXEL_RANGES:
+    if config.normalize and config.pixel_range in PIXEL_RANGES:
         return images.normalize(pixels, config.pixel_range, config.mean, config.std)
     return pixels.astype(np.float32)
 

@@ -52,6 +52,7 @@ def image_config(s: dict) -> images.ImageConfig:
         keep_aspect=s.get("maintain_aspect_ratio", False),
         to_rgb=s.get("convert_to_rgb", True),
         grayscale=s.get("grayscale", False),
+        normalize=s.get("normalize_pixels", True),
         pixel_range=s.get("pixel_range", "0-1"),
         mean=_pair(s.get("mean")),
         std=_pair(s.get("std")),
@@ -99,6 +100,7 @@ def video_config(s: dict) -> video.VideoConfig:
         keep_aspect=s.get("maintain_aspect_ratio", False),
         to_rgb=s.get("convert_to_rgb", True),
         grayscale=s.get("grayscale", False),
+        normalize=s.get("normalize_pixels", True),
         pixel_range=s.get("pixel_range", "0-1"),
         mean=_pair(s.get("mean")),
         std=_pair(s.get("std")),

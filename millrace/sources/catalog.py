@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,9 +70,10 @@ def load(spark: SparkSession, path: str, modalities: Sequence[str] = DEFAULT_MOD
     """
     files = scan(spark, path, modalities, extensions)
     if max_samples:
-        chosen = files.select("path").orderBy("path").limit(max_samples)
-        paths = [r.path for r in chosen.collect()]  # max_samples names
-        files = scan(spark, path, modalities, extensions).where(F.col("path").isin(paths))
+        chosen = files.where(F.col("modality").isin(list(modalities))).select("path").orderBy("path").limit(max_samples)
+        paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in chosen.collect()]  # max_samples names
+        if paths:
+            files = spark.read.format("binaryFile").load(paths).withColumn("modality", modality(F.col("path"), extensions))
     files = files.where(F.col("modality").isin(list(modalities)))
     text = F.when(F.col("modality") == "text", decode_text(F.col("content"), not object_store))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -88,9 +90,9 @@ def load(spark: SparkSession, path: str, modalities: Sequence[str] = DEFAULT_MOD
     )
 
 
-def metadata(spark: SparkSession, path: str, modalities: Sequence[str] | None = None) -> DataFrame:
+def metadata(spark: SparkSession, path: str, modalities: Sequence[str] | None = None, extensions: dict[str, Sequence[str]] = EXTENSIONS) -> DataFrame:
     """One row: files, their bytes and megabytes, and a map of files by modality; no contents are read."""
-    files = scan(spark, path, modalities).where("modality IS NOT NULL")
+    files = scan(spark, path, modalities, extensions).where("modality IS NOT NULL")
     by = files.groupBy("modality").agg(F.count("*").alias("n"), F.sum("length").alias("size"))
     return by.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_files"),
@@ -100,6 +102,13 @@ def metadata(spark: SparkSession, path: str, modalities: Sequence[str] | None =
     )
 
 
+def object_metadata(spark: SparkSession, source: str, modalities: Sequence[str] | None = None, region: str = "us-east-1", path: str | None = None) -> DataFrame:
+    """metadata() of a prefix of a bucket (s3://bucket/prefix), with its bucket, prefix and region. path: where Spark reads it, if not by s3a."""
+    facts = metadata(spark, path or source.replace("s3://", "s3a://", 1), modalities, OBJECT_STORE_EXTENSIONS)
+    where = storage.bucket_and_prefix(F.lit(source))
+    return facts.withColumnRenamed("total_files", "total_objects").withColumns({"bucket": where["bucket"], "prefix": where["prefix"], "region": F.lit(region)})
+
+
 def file_tree(spark: SparkSession, path: str, max_depth: int = 3) -> dict:
     """Nested dict of folders and files of known modality ({type, modality, size}) down to a depth; empty folders stay."""
     known = {e: m for m, own in EXTENSIONS.items() for e in own}

@@ -27,6 +27,30 @@ def test_resize_keeps_constants_and_letterboxes():
     assert (boxed[:, 7:22] == 77).all() and not boxed[:, :7].any() and not boxed[:, 22:].any()
 
 
+def test_letterbox_sizes():
+    assert images.fitted(1, 71, 224, 224) == (3, 224) and images.fitted(800, 600, 224, 224) == (224, 168)
+    assert images.fitted(5000, 1, 224, 224) == (224, 1)
+
+
+def test_rotation():
+    rng = np.random.default_rng(2)
+    pixels = rng.integers(0, 256, (9, 9, 3), dtype=np.uint8)
+    assert (images.rotate(pixels, 0) == pixels).all()
+    assert (images.rotate(pixels, 90) == np.rot90(pixels)).all() and (images.rotate(pixels, 180) == pixels[::-1, ::-1]).all()
+    grey = np.full((40, 40, 3), 77, dtype=np.uint8)
+    turned = images.rotate(grey, 30)
+    assert (turned[12:28, 12:28] == 77).all() and not turned[0, 0].any()
+
+
+def test_pixels_can_stay_as_they_are(spark):
+    from millrace.plans import config
+
+    df = spark.createDataFrame([(1, images.encode_png(np.full((4, 4, 3), 200, dtype=np.uint8)))], "id int, content binary")
+    kept = config.image_config({"normalize_pixels": False, "target_size": [2, 2], "mean": [0.5] * 3, "std": [0.5] * 3})
+    assert set(images.process(df, kept).first().image.data) == {200.0}
+    assert not config.video_config({"normalize_pixels": False}).normalize and config.video_config({}).normalize
+
+
 def test_colour_rules():
     rgb, grey = np.full((2, 2, 3), 100, np.uint8), np.full((2, 2, 1), 9, np.uint8)
     assert images.convert(rgb, True, True).shape == (2, 2, 1)
