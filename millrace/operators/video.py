@@ -166,7 +166,7 @@ def process(df: DataFrame, config: VideoConfig | None = None, content: str = "co
                     frames, _ = decode(data)
                     if wanted is None or not len(wanted):
                         raise ValueError("no frames")
-                    stack = np.stack([process_frame(frames[i], config) for i in wanted])
+                    stack = np.stack([process_frame(frames[int(i)], config) for i in wanted])  # numbers come as floats where other rows have none
                     stack = np.transpose(stack, (3, 0, 1, 2)) if config.layout == "cthw" else stack
                     rows.append((list(stack.shape), stack.ravel(), None))
                 except Exception as error:  # the row's own failure

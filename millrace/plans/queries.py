@@ -1,9 +1,7 @@
-"""The registered queries over the driver's tables, each with its SQL oracle where SQL can express it."""
+"""The registered queries over the driver's tables, each with its SQL oracle where SQL can express it; more are in the modules imported last."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,22 +16,7 @@ from ..session import spread, table
 from ..sources import catalog, storage
 from ..workspace import new_path, written
 from .pipeline import Chain, Pipeline, PipelineConfig
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(run):
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return add
-
+from .registry import ORACLES, QUERIES, query
 
 # Text.
 
@@ -87,27 +70,28 @@ def text_truncate(spark, sf_dir):
     return text.preprocess(docs(spark, sf_dir), config=T.TextConfig(min_length=500, max_length=512)).select("doc_id", "cleaned", "too_short")
 
 
-@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '(^|[^\p{{L}}\p{{N}}_])[0-9]+(?:$|\b)', '\1 ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '{WS}+', ' ', 'g'), ' ') AS cleaned FROM documents WHERE false""")
-def text_no_rows(spark, sf_dir):
-    """No documents pass: an empty input gives an empty result of the same columns."""
-    return text.clean(docs(spark, sf_dir).where(F.lit(False)), config=T.TextConfig(remove_numbers=True, remove_punctuation=True)).select("doc_id", "cleaned")
-
-
 @query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]', ' ', 'g'), '{WS}+', ' ', 'g'), ' ') AS cleaned FROM documents""")
 def text_remove_punctuation(spark, sf_dir):
     config = T.TextConfig(unicode_form=None, remove_urls=False, remove_emails=False, remove_phone_numbers=False, remove_punctuation=True)
     return text.clean(docs(spark, sf_dir), config=config).select("doc_id", "cleaned")
 
 
-@query()  # RE2 has no lookaround for whole numbers; a test holds it against plain Python
+#: Runs of word characters that are digits only become a blank.
+NUMBERLESS = r"array_to_string(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE WHEN regexp_full_match(x, '\p{Nd}+') THEN ' ' ELSE x END), '')"
+
+
+@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace({NUMBERLESS}, '[^\p{{L}}\p{{N}}_\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]', ' ', 'g'), '{WS}+', ' ', 'g'), ' ') AS cleaned FROM documents""")
 def text_remove_numbers(spark, sf_dir):
     config = T.TextConfig(unicode_form=None, remove_urls=False, remove_emails=False, remove_phone_numbers=False, remove_numbers=True, remove_punctuation=True)
     return text.clean(docs(spark, sf_dir), config=config).select("doc_id", "cleaned")
 
 
-@query("SELECT doc_id, text AS normalized FROM documents")
-def text_unicode_nfkc(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || ' Az19 fi 2' WHEN 1 THEN text || ' ' || chr(233) ELSE text END AS nfkc, CASE doc_id % 3 WHEN 0 THEN text || ' ' || chr(65313) || chr(65370) || chr(65297) || chr(65305) || ' ' || chr(64257) || ' ' || chr(178) WHEN 1 THEN text || ' ' || chr(233) ELSE text END AS nfc FROM documents")
+def text_unicode_forms(spark, sf_dir):
+    """Full-width letters, a ligature and a raised digit behind a third of the texts, a decomposed accent behind another."""
+    k = F.col("doc_id") % 3
+    made = F.when(k == 0, F.concat("text", F.lit(" Ａｚ１９ ﬁ ²"))).when(k == 1, F.concat("text", F.lit(" é"))).otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", T.normalize(made, "NFKC").alias("nfkc"), T.normalize(made, "NFC").alias("nfc"))
 
 
 @query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
@@ -191,22 +175,43 @@ def validate_length(spark, sf_dir):
     return _judged(V.validate_length(docs(spark, sf_dir), LIMITS), "char_length", "word_count", "sentence_count", "avg_word_length", "avg_sentence_length")
 
 
+#: Texts with a listed word (as a word of its own, in any case, or with a point, which hides it), a harmful one or neither.
+MARKED = "text || CASE doc_id % 7 WHEN 0 THEN ' Offensive end' WHEN 1 THEN ' offensive. end' WHEN 2 THEN ' to KILL it' WHEN 3 THEN ' badword1 bomb' WHEN 4 THEN ' skilled' ELSE '' END"
+
+
+def _marked(df):
+    k = F.col("doc_id") % 7
+    ends = F.when(k == 0, " Offensive end").when(k == 1, " offensive. end").when(k == 2, " to KILL it").when(k == 3, " badword1 bomb").when(k == 4, " skilled").otherwise("")
+    return df.withColumn("text", F.concat("text", ends))
+
+
 CONTENT = rf"""
 WITH m AS (SELECT doc_id, len(list_intersect(list_distinct(list_transform({WORDS}, lambda x: lower(x))), ['badword1', 'badword2', 'offensive'])) AS listed,
-  regexp_matches(text, '(?i)\b(kill|murder|bomb)\b') AS harmful, CASE WHEN len(text) = 0 THEN 0 ELSE len(regexp_replace(text, '[\p{{L}}\p{{N}}\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', '', 'g')) / len(text) END AS ratio FROM documents),
+  regexp_matches(text, '(?i)\b(kill|murder|bomb)\b') AS harmful, CASE WHEN len(text) = 0 THEN 0 ELSE len(regexp_replace(text, '[\p{{L}}\p{{N}}\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', '', 'g')) / len(text) END AS ratio FROM (SELECT doc_id, {MARKED} AS text FROM documents)),
 k AS (SELECT *, list_filter([CASE WHEN listed > 0 THEN 'PROFANITY_DETECTED' END, CASE WHEN harmful THEN 'HARMFUL_CONTENT' END, CASE WHEN ratio > 0.05 THEN 'HIGH_SPECIAL_CHAR_RATIO' END], lambda x: x IS NOT NULL) AS codes FROM m)"""
 
 
 @query(CONTENT + " SELECT doc_id, CASE WHEN harmful THEN 'failed' ELSE 'passed' END AS status, coalesce(array_to_string(codes, ','), '') AS codes, round(ratio, 6) AS special_char_ratio FROM k")
 def validate_content(spark, sf_dir):
-    return _judged(V.validate_content(docs(spark, sf_dir), LIMITS), "special_char_ratio")
+    return _judged(V.validate_content(_marked(docs(spark, sf_dir)), LIMITS), "special_char_ratio")
 
 
 @query(r"""
-WITH m AS (SELECT doc_id, len(regexp_replace(text, '[^\p{Cc}]|[\n\r\t]', '', 'g')) AS cc FROM documents)
-SELECT doc_id, 'passed' AS status, CASE WHEN cc > 0 THEN 'CONTROL_CHARACTERS' ELSE '' END AS codes, CAST(cc AS DOUBLE) AS control_char_count FROM m""")
+WITH t AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(1) || chr(9) || chr(127) WHEN 1 THEN chr(888) ELSE '' END AS text FROM documents),
+m AS (SELECT doc_id, len(regexp_replace(text, '[^\p{Cc}]|[\n\r\t]', '', 'g')) AS cc, CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS cn FROM t)
+SELECT doc_id, 'passed' AS status, concat_ws(',', CASE WHEN cc > 0 THEN 'CONTROL_CHARACTERS' END, CASE WHEN cn > 0 THEN 'INVALID_UNICODE' END) AS codes, CAST(cc AS DOUBLE) AS control_char_count, CAST(cn AS DOUBLE) AS invalid_char_count FROM m""")
 def validate_encoding(spark, sf_dir):
-    return _judged(V.validate_encoding(docs(spark, sf_dir)), "control_char_count")
+    """Control characters behind a quarter of the texts, one that isn't assigned behind another."""
+    k = F.col("doc_id") % 4
+    made = docs(spark, sf_dir).withColumn("text", F.concat("text", F.when(k == 0, "\x01\t\x7f").when(k == 1, "͸").otherwise("")))
+    return _judged(V.validate_encoding(made), "control_char_count", "invalid_char_count")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'ENCODING_ERROR' ELSE 'ENCODING_SUCCESS' END AS codes FROM documents")
+def validate_bytes(spark, sf_dir):
+    """Texts as bytes, a third of them with one that is not UTF-8 at the end."""
+    made = docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C3")))).otherwise(F.col("text").cast("binary")))
+    return _judged(V.validate_encoding(made))
 
 
 @query(r"""
@@ -238,8 +243,19 @@ def validate_json(spark, sf_dir):
     return found.select("event_id", F.col("result.status").alias("status"), fact("json_type").alias("json_type"), fact("json_keys").cast("long").alias("json_keys"))
 
 
-@query(None)
+@query("SELECT page_id, CASE WHEN page_id % 4 IN (1, 3) THEN 'failed' ELSE 'passed' END AS status, CASE WHEN page_id % 4 IN (1, 3) THEN 'INVALID_XML' ELSE 'VALID_XML' END AS code, CASE page_id % 4 WHEN 0 THEN '{urn:p}page' WHEN 2 THEN 'p' || page_id END AS root FROM pages")
 def validate_xml(spark, sf_dir):
+    """Each page's URL in XML with a namespace, in XML without, without an end, and as it is."""
+    k, escaped = F.col("page_id") % 4, F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    made = F.when(k == 0, F.concat(F.lit('<x:page xmlns:x="urn:p"><u>'), escaped, F.lit("</u></x:page>"))).when(k == 1, F.concat(F.lit("<page><u>"), escaped, F.lit("</page>")))
+    made = made.when(k == 2, F.concat(F.lit("<"), name, F.lit(">"), escaped, F.lit("</"), name, F.lit(">"))).otherwise(F.col("url"))
+    found = V.validate_format(table(spark, sf_dir, "pages").withColumn("made", made), "xml", text_col="made")
+    return found.select("page_id", F.col("result.status").alias("status"), F.col("result.issues")[0]["code"].alias("code"), F.element_at("result.metadata", "xml_root_tag").alias("root"))
+
+
+@query(None)
+def validate_html_as_xml(spark, sf_dir):
     found = V.validate_format(table(spark, sf_dir, "pages"), "xml", text_col="html")
     return found.select("page_id", F.col("result.status").alias("status"), F.col("result.issues")[0]["code"].alias("code"))
 
@@ -269,7 +285,7 @@ MERGED = LENGTH.replace("WITH m AS", "WITH m AS", 1) + "," + CONTENT.strip().rem
 @query(MERGED + """
 SELECT doc_id, len(j.codes) + len(k.codes) AS n, CASE WHEN NOT (chars < 200 OR chars > 20000 OR harmful) THEN 'passed' ELSE 'failed' END AS status FROM j JOIN k USING (doc_id)""")
 def result_merge(spark, sf_dir):
-    both = V.validate_content(V.validate_length(docs(spark, sf_dir), LIMITS, out="a"), LIMITS, out="b")
+    both = V.validate_content(_marked(V.validate_length(docs(spark, sf_dir), LIMITS, out="a")), LIMITS, out="b")
     merged = both.withColumn("m", issues.merge(F.col("a"), F.col("b")))
     return merged.select("doc_id", F.size("m.issues").cast("long").alias("n"), F.col("m.status").alias("status"))
 
@@ -573,3 +589,7 @@ def text_measures(spark, sf_dir):
     return found.select("doc_id", F.col("__n_sentences").cast("long").alias("sentences"), F.col("__n_words").cast("long").alias("words"))
 
 
+# Registered on import.
+from . import check_queries, file_queries, media_queries  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "check_queries", "file_queries", "media_queries"]
