@@ -8,8 +8,9 @@ length bound (the text has as many words as the window) and the positional
 bounds (the window's words before and after the shingle are inside the text)
 and is verified word by word.
 
-The index of the benchmark goes to all executors in blocks of bounded size;
-a larger benchmark takes more blocks, each against all documents.
+Executors cut the benchmark into windows and make them distinct. The index goes
+to all executors in blocks of bounded size; a larger benchmark takes more
+blocks, each against all documents.
 """
 
 from __future__ import annotations
@@ -73,29 +74,36 @@ def words_of(texts: list[str | None]) -> Words:
     return Words(data, starts, WORD)
 
 
+def windows_of(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
+    """Distinct windows (window: words joined by blanks; size: words; items: ids as strings) of all items, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, last, words in steps_of(batches, 1):
+            items, rows = batch.column(0).slice(first, last - first).to_pylist(), []
+            for i, item in enumerate(items):
+                begin, end = int(words.first[i]), int(words.first[i + 1])
+                m = min(size, end - begin)
+                rows += [(words.bytes_of(at, m), m, item) for at in range(begin, end - m + 1)] if m else []
+                if len(rows) > 10_000 or i == len(items) - 1:
+                    yield pa.RecordBatch.from_pydict({"window": pa.array([r[0] for r in rows], pa.binary()), "size": pa.array([r[1] for r in rows], pa.int32()), "item": pa.array([r[2] for r in rows], pa.string())})
+                    rows = []
+
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    each = items.mapInArrow(run, "window binary, size int, item string")
+    return written(each.groupBy("window", "size").agg(F.collect_set("item").alias("items")), "windows")
+
+
 def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block: int) -> Iterator[Index]:
-    """Distinct windows of all items, block after block. Items come one partition at a time; items are dealt by text, so a window of equal items is met once or a few times, and a window in two blocks is found by both."""
-    index, known = Index(), {}
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).orderBy("text", "item")
-    for row in rows.toLocalIterator():
-        words = words_of([row.text])
-        n = len(words.begin)
-        for at in range(max(1, n - size + 1) if n else 0):
-            m = min(size, n)
-            text = words.bytes_of(at, m)
-            if text not in known:
-                known[text] = len(index.texts)
-                index.texts.append(text)
-                index.sizes.append(m)
-                index.items.append(set())
-                index.hashes.append(words.hash[at : at + m])
-            if row.item is not None:
-                index.items[known[text]].add(row.item)
-        if len(index.texts) >= block:
-            yield index
-            index, known = Index(), {}
-    if index.texts:
-        yield index
+    """The distinct windows in blocks of about `block`, one after another; a block is all that the driver holds."""
+    windows = windows_of(benchmark, item_col, text_col, size)
+    blocks = -(-windows.count() // block)
+    for n in range(blocks):
+        found = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == n).orderBy("window").toArrow()
+        if found.num_rows:
+            texts = found["window"].to_pylist()
+            words = words_of([t.decode("utf-8", "surrogateescape") for t in texts])
+            hashes = [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(texts))]
+            yield Index(texts, found["size"].to_pylist(), [set(i) for i in found["items"].to_pylist()], hashes)
 
 
 def steps_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
