@@ -164,6 +164,21 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("way", [{}, {"PART_BYTES": 64}, {"LIST_BYTES": 0}], ids=str)
+def test_blocklists_in_ranges_and_by_join(spark, monkeypatch, way):
+    for name, value in way.items():
+        monkeypatch.setattr(url_filter, name, value)
+    entries = [f"h{i}.com/" for i in range(40)] + ["h7.com/x/", "x.h8.com/", "é.org/ü", "com/long/", None, "h7.com/"]
+    urls = [f"http://h{i}.com/" for i in range(50)] + ["http://a.h7.com/x/y", "http://x.h8.com/", "http://é.org/üb", "http://z.com/long/" + "p" * 100_000, None, "h7.com/", "http://h7.com/x/", "http://h7.com/x/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("entry", F.lit("x")).withColumn("listed", F.lit("y"))
+    found = {r.page_id: (r.listed, r.verdict) for r in url_filter.filter_urls(pages, blocked=spark.createDataFrame([(e,) for e in entries], "entry string"), rules=()).collect()}
+    wanted = {i: (f"h{i}.com/", "block") if i < 40 else (None, "allow") for i in range(50)}
+    wanted |= {50: ("h7.com/x/", "block"), 51: ("x.h8.com/", "block"), 52: ("é.org/ü", "block"), 53: ("com/long/", "block"), 54: (None, "allow"), 55: (None, "allow"), 56: ("h7.com/x/", "block"), 57: ("h7.com/x/", "block")}
+    assert found == wanted
+    nothing = url_filter.filter_urls(pages, blocked=spark.createDataFrame([], "entry string"), rules=()).collect()
+    assert len(nothing) == len(urls) and {r.verdict for r in nothing} == {"allow"}
+
+
 def test_digest_collisions_are_told_apart():
     packed = url_filter.DigestArray(url_filter.pack([("a.com/", 1), ("b.com/", 0), ("c.com/x/", 1)]))
     import numpy as np
