@@ -110,6 +110,25 @@ def named_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _rule_sql(rank: int, rule: secret_scan.Rule) -> str:
+    """Matches of a rule and the pieces between them; a possessive run is a run."""
+    pattern = rule.pattern.replace("{16,}+", "{16,}").replace("'", "''")
+    return f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, string_split_regex(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}') AS found, list_transform(found, lambda x: len(regexp_extract(x, '{pattern}', {rule.group})) >= {rule.least}) AS counts FROM d"
+
+
+OP7_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ("
+    + " UNION ALL ".join(_rule_sql(n, r) for n, r in enumerate(secret_scan.RULES))
+    + r"""), e AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+s AS (SELECT doc_id, rank, kind, counts[i] AS counts, list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) AS start, len(found[i]) AS n FROM e),
+named AS (SELECT doc_id, rank, kind, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT) AS span FROM s WHERE counts),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -120,6 +139,19 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+o AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS turn FROM r),
+k AS (SELECT doc_id, i, sum(turn) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+s AS (SELECT doc_id, span, min(i) AS first, max(i) + 199 AS last FROM k GROUP BY doc_id, span),
+p AS (SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS before FROM s),
+g AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(last - first + 1) AS BIGINT) AS n_removed, string_agg(hex(b[before + 1:first - 1]), '' ORDER BY first) AS kept, max(last) AS last FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(kept || hex(b[last + 1:])) END) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -159,4 +191,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_secret_scan": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
