@@ -117,14 +117,14 @@ def text_vocabulary(spark, sf_dir):
     return text.build_vocabulary(_tokenized(spark, sf_dir), min_freq=2)
 
 
-@query(VOCABULARY + " SELECT doc_id AS ord, count(*) AS n, string_agg(CAST(coalesce(id, 1) AS VARCHAR), ',' ORDER BY pos) AS joined FROM t LEFT JOIN v USING (token) GROUP BY doc_id")
+@query(VOCABULARY + " SELECT c.doc_id AS ord, count(t.token) AS n, coalesce(string_agg(CAST(coalesce(id, 1) AS VARCHAR), ',' ORDER BY pos) FILTER (t.token IS NOT NULL), '') AS joined FROM c LEFT JOIN t ON c.doc_id = t.doc_id LEFT JOIN v ON t.token = v.token GROUP BY c.doc_id")
 def text_encode(spark, sf_dir):
     tokens = _tokenized(spark, sf_dir)
     found = text.encode(tokens, text.build_vocabulary(tokens, min_freq=2), "ord")
     return found.select("ord", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("joined"))
 
 
-@query(VOCABULARY + " SELECT doc_id AS ord, string_agg(CASE WHEN id IS NULL THEN '<UNK>' ELSE token END, ' ' ORDER BY pos) AS joined FROM t LEFT JOIN v USING (token) GROUP BY doc_id")
+@query(VOCABULARY + " SELECT c.doc_id AS ord, coalesce(string_agg(CASE WHEN id IS NULL THEN '<UNK>' ELSE t.token END, ' ' ORDER BY pos) FILTER (t.token IS NOT NULL), '') AS joined FROM c LEFT JOIN t ON c.doc_id = t.doc_id LEFT JOIN v ON t.token = v.token GROUP BY c.doc_id")
 def text_decode(spark, sf_dir):
     tokens = _tokenized(spark, sf_dir)
     vocabulary = text.build_vocabulary(tokens, min_freq=2)
