@@ -111,8 +111,8 @@ def named_spans(spans: Column) -> Column:
 
 
 def _rule_sql(rank: int, rule: secret_scan.Rule) -> str:
-    """Matches of a rule and the pieces between them; a possessive run is a run."""
-    pattern = rule.pattern.replace("{16,}+", "{16,}").replace("'", "''")
+    """Matches of a rule and the pieces between them; a possessive run is a run, and a word's edge has a sign of its own."""
+    pattern = rule.pattern.replace("{16,}+", "{16,}").replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''")
     return f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, string_split_regex(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}') AS found, list_transform(found, lambda x: len(regexp_extract(x, '{pattern}', {rule.group})) >= {rule.least}) AS counts FROM d"
 
 

@@ -38,11 +38,11 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}+", 0, 16),
 )
-#: Rules beyond them: private-key headers, prefixed service tokens and signed web tokens.
+#: Rules beyond them: private-key headers, prefixed service tokens and signed web tokens. What counts as a word's edge is spelled out, as Java versions differ on it.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("service", r"\b(?:gh[pousr]_|glpat-|xox[abprs]-)[A-Za-z0-9-]{20,}"),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("service", r"(?<![A-Za-z0-9_])(?:gh[pousr]_|glpat-|xox[abprs]-)[A-Za-z0-9-]{20,}", version=2),
+    Rule("jwt", r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 SPANS = "array<struct<start: bigint, rank: int, kind: string, end: bigint>>"
