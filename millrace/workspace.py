@@ -47,4 +47,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._millrace_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that is made of them is written too."""
+    for df in tables:
+        delete_path(df.sparkSession, df._millrace_path)
