@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import BASE, CODES, mixed, powers, steps, text_bytes
-from .common import written
+from .common import discard, written
 
 LENGTH, GRAM = 200, 40
 #: Window starts of a long text that are hashed at a time.
@@ -567,14 +567,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows.
     """
     rows = keyed(docs, id_col, text_col)
-    runs = occurrences(rows).join(anchors(rows), "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("nth", "hot")).alias("runs"))
+    kinds = anchors(rows)
+    runs = occurrences(rows).join(kinds, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("nth", "hot")).alias("runs"))
     found = written(surroundings(rows.join(runs.hint("shuffle_hash"), ["k1", "k2"])), "surroundings")
+    discard(kinds)
     plain, known = found.where(F.col("kind") == PLAIN), found.where(F.col("kind") == KNOWN)
     hot = found.where(F.col("kind") == CUT)
     if hot.limit(1).count():
         cuts = written(cut_finer(hot.withColumn("chunk", F.lit(CHUNK))), "pieces")
         some = cuts.where(F.col("kind") == PLAIN)
-        much = some.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("route", F.lit(1).alias("chunk"))
+        # Written, so that its size is known: one row for each HOT of `some` at most.
+        much = written(some.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("route", F.lit(1).alias("chunk")), "much")
         finer = written(cut_finer(some.join(much, "route", "left")), "windows")
         plain = plain.unionByName(finer.where(F.col("kind") == PLAIN))
         known = known.unionByName(cuts.where(F.col("kind") == KNOWN)).unionByName(finer.where(F.col("kind") == KNOWN))
