@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from ..workspace import hadoop_path, new_path, shared_dir, written
+from ..workspace import discard, hadoop_path, new_path, shared_dir, written
 
-__all__ = ["hadoop_path", "new_path", "shared_dir", "written"]
+__all__ = ["discard", "hadoop_path", "new_path", "shared_dir", "written"]
