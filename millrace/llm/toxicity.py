@@ -13,7 +13,6 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -241,34 +240,38 @@ def summed(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
     """A network fitted to labelled texts. The same rows in the same order give the same network."""
     rng = np.random.default_rng(seed)
-    words = [WORD.findall((t or "").lower()) for t in texts]
     y = np.array(labels, dtype=np.float32)
-    toxic, clean = Counter(), Counter()
-    for ws, label in zip(words, labels, strict=True):
-        (toxic if label else clean).update(set(ws))
-    seen = toxic + clean
-    chosen = sorted((w for w in seen if seen[w] >= LEAST_TEXTS), key=lambda w: (-seen[w], w))[:VOCABULARY]
-    vocabulary = {w: i + 1 for i, w in enumerate(chosen)}
+    # A word is kept once; texts are numbers from here on.
+    ids = _Ids()
+    read_texts = [np.fromiter((ids[w] for w in WORD.findall((t or "").lower())), dtype=np.int32) for t in texts]
+    del texts
+    if not len(ids):
+        return Network.new({}, np.zeros(1, np.float32), np.zeros(BUCKETS, np.float32), seed)
+    tri, starts, begin = characters(ids.new)
+    counts = np.diff(np.append(starts, len(tri)))
+    seen, by_head = np.zeros((2, len(ids))), np.zeros((2, BUCKETS))
+    for numbers, label in zip(read_texts, y, strict=True):
+        own = np.unique(numbers)
+        seen[int(label > 0), own] += 1
+        by_head[int(label > 0), np.unique(begin[own])] += 1
+    clean, toxic = seen
+    often = (clean + toxic).astype(np.int64)
+    chosen = sorted(np.flatnonzero(often >= LEAST_TEXTS).tolist(), key=lambda i: (-often[i], ids.new[i]))[:VOCABULARY]
+    vocabulary = {ids.new[n]: i + 1 for i, n in enumerate(chosen)}
     n1, n0 = max(1.0, float(y.sum())), max(1.0, float(len(y) - y.sum()))
+
     def leaning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How much more often in toxic texts, in logarithms; nearer to nothing the fewer texts there are."""
         return np.clip((np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))) * (a + b) / (a + b + 4) / 2, -2, 2).astype(np.float32)
 
-    lean = np.append(np.float32(0), leaning(np.array([toxic[w] for w in chosen], float), np.array([clean[w] for w in chosen], float)))
-    by_head = np.zeros((2, BUCKETS))
-    for ws, label in zip(words, labels, strict=True):
-        by_head[1 if label else 0][np.unique(heads(list(set(ws))))] += 1
+    lean = np.append(np.float32(0), leaning(toxic[chosen], clean[chosen]))
     head_lean = leaning(by_head[1], by_head[0])
     net = Network.new(vocabulary, lean, head_lean, seed)
-    ids = _Ids()
-    flat = np.append(np.fromiter((ids[w] for ws in words for w in ws), dtype=np.int64), 0)
-    if not len(ids):
-        return net
-    own = np.array([vocabulary.get(w, 0) for w in ids.new])
-    tri, starts, begin = characters(ids.new)
-    counts = np.diff(np.append(starts, len(tri)))
-    lengths = np.array([len(w) for w in words])
-    del words, toxic, clean, seen, ids
+    own = np.zeros(len(ids), dtype=np.int64)
+    own[chosen] = np.arange(1, len(chosen) + 1)
+    lengths = np.array([len(t) for t in read_texts])
+    flat = np.append(np.concatenate(read_texts), np.int32(0))
+    del read_texts, clean, toxic, seen, often, ids
 
     def looked_up(unique: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs of some words, of which `known` are themselves, and their trigrams."""
@@ -276,7 +279,6 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         parts = tri[np.repeat(starts[unique] - firsts, counts[unique]) + np.arange(counts[unique].sum())]
         return net.inputs(known, parts, firsts, begin[unique]), parts
 
-    flat = flat.astype(np.int32)
     first, owner = windows_of(lengths)
     ends = np.cumsum(lengths)[owner]
 
@@ -294,7 +296,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     balance = np.where(y > 0, min(4.0, n0 / n1), 1.0).astype(np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    bounds = np.searchsorted(owner, np.arange(len(lengths) + 1))
     for epoch in range(epochs):
         if epoch % 2:  # the windows that count are chosen anew every other time
             scored = []
@@ -305,8 +307,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 inverse, m = inverse.reshape(WINDOW, -1), mask.T.astype(np.float32)
                 scored.append(net.forward((x @ net.p["Wf"] + net.p["bf"])[inverse], (x @ net.p["Wb"] + net.p["bb"])[inverse], m)[0])
             logit = np.concatenate(scored)
-        top = np.array([bounds[i] + int(np.argmax(logit[bounds[i] : bounds[i + 1]])) for i in range(len(texts))])
-        other = np.array([rng.integers(bounds[i], bounds[i + 1]) for i in range(len(texts)) if not y[i]], dtype=np.int64)
+        top = np.array([bounds[i] + int(np.argmax(logit[bounds[i] : bounds[i + 1]])) for i in range(len(lengths))])
+        other = np.array([rng.integers(bounds[i], bounds[i + 1]) for i in range(len(lengths)) if not y[i]], dtype=np.int64)
         picked = rng.permutation(np.concatenate([top, other]))
         batch = min(max(BATCH[0], len(picked) // 24), BATCH[1])
         for at in range(0, len(picked), batch):
@@ -341,12 +343,14 @@ def fold(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Network:
-    """Trains on at most `sample` labelled texts of each class outside the held-out fold, in one task of an executor."""
+    """Trains on at most `sample` labelled texts of each class outside the held-out fold, in one task of an executor. Of several texts of an id one is read, that of the least checksum."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0)).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     place = F.xxhash64(F.col(id_col).cast("string"))
     parts = [known.where(F.col("__label") == label).orderBy(place, id_col).limit(sample) for label in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * sample rows of two numbers at most
     rows = docs.select(id_col, text_col).join(picked, id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col("__label").cast("int").alias("label"))
+    # However many rows an id has, one of them goes on from each task, and one from all.
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("place"), "text")).alias("one")).select("id", "one.text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted({(i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True)})
