@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, decontaminate, line_dedup, mixing, secret_scan, sharding, simhash, suffix_dedup, toxicity, url_filter
+from . import audio_features, decontaminate, line_dedup, mixing, secret_scan, sharding, simhash, suffix_dedup, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +179,41 @@ SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN target >
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN l ON d.source IS NOT DISTINCT FROM l.source
 """
 
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = vector_codes.codebooks_sha256(codebooks)
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _op13_sql(rounds: int) -> str:
+    """One step of assigning and averaging after another: k holds the parts' components as lists, c0, c1... the codebooks."""
+    assign = "SELECT vec_id, label, p, arg_min(e, d * 16 + e) AS e, CAST(min(d) AS BIGINT) AS d FROM (SELECT k.vec_id, k.label, k.p, c.e, list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM k JOIN {c} c ON k.p = c.p) GROUP BY vec_id, label, p"
+    steps = []
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({assign.format(c=f'c{n}')})")
+        means = "list(CAST(floor_div AS BIGINT) ORDER BY i)"
+        split = f"SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (SELECT a.p, a.e, unnest(range(1, 9)) AS i, unnest(k.x) AS x FROM a{n} a JOIN k USING (vec_id, p)) GROUP BY p, e, i"
+        steps.append(f"m{n} AS MATERIALIZED (SELECT p, e, {means} AS x FROM (SELECT p, e, i, s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS floor_div FROM ({split})) GROUP BY p, e)")
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (p, e))")
+    return (
+        """WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), k AS MATERIALIZED (SELECT vec_id, label, p, x[p * 8 + 1:p * 8 + 8] AS x FROM (SELECT *, unnest(range(8)) AS p FROM v)),
+c0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM k) WHERE e < 16), """
+        + ", ".join(steps)
+        + f""", last AS MATERIALIZED ({assign.format(c=f"c{rounds}")}),
+g AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM g, h
+"""
+    )
+
+
+OP13_SQL = _op13_sql(vector_codes.ROUNDS)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -190,5 +225,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_secret_scan": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_secret_scan": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op13_vector_codes": OP13_SQL}
