@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, decontaminate, lexical_search, line_dedup, mixing, secret_scan, sharding, simhash, suffix_dedup, toxicity, url_filter, vector_codes
+from . import audio_features, decontaminate, lexical_search, line_dedup, mixing, secret_scan, sharding, simhash, suffix_dedup, term_fingerprints, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,6 +202,10 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN b USING
 """
 
 
+def op12_term_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     digest = vector_codes.codebooks_sha256(codebooks)
@@ -247,6 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_term_fingerprints": op12_term_fingerprints,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_secret_scan": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_vector_codes": OP13_SQL}

@@ -32,9 +32,9 @@ IDF = (3.5, 8.0)
 #: A text with fewer lexicon terms is fingerprinted by all its terms.
 LEAST = 4
 #: Random subsets at each rate, and the rates: one in 2, 8, 32, ... terms.
-SUBSETS, RATES = 16, tuple(1 << (63 - 2 * i) for i in range(6))
+SUBSETS, RATES = 32, tuple(1 << (63 - 2 * i) for i in range(6))
 #: A rate tells nothing once more than this share of its subsets has terms of either text.
-FULL = 0.8
+FULL = 0.9
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
@@ -81,7 +81,7 @@ def set_hashes(docs: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Fingerprints:
-    """Fingerprints of texts: whole holds a 64-bit hash each, parts a 16-bit hash by rate and subset, 0 where the subset has no term."""
+    """Fingerprints of texts: whole holds a 64-bit hash each, parts an 8-bit hash by rate and subset, 0 where the subset has no term."""
 
     def __init__(self, whole: np.ndarray, parts: np.ndarray):
         self.whole, self.parts = whole, parts
@@ -93,13 +93,13 @@ class Fingerprints:
         return Fingerprints(np.concatenate((self.whole, more.whole)), np.concatenate((self.parts, more.parts)))
 
     def bytes(self) -> list[bytes]:
-        return [w.tobytes() + p.tobytes() for w, p in zip(self.whole.astype(">u8"), self.parts.astype(">u2"))]
+        whole = self.whole.astype(">u8").view(np.uint8).reshape(-1, 8)
+        return [row.tobytes() for row in np.concatenate((whole, self.parts.reshape(len(whole), -1)), axis=1)]
 
     @classmethod
     def of_bytes(cls, data: list[bytes]) -> Fingerprints:
-        each = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(len(data), 8 + 2 * len(RATES) * SUBSETS)
-        parts = np.ascontiguousarray(each[:, 8:]).view(">u2").astype(np.uint16)
-        return cls(np.ascontiguousarray(each[:, :8]).view(">u8").ravel().astype(np.uint64), parts.reshape(len(data), len(RATES), SUBSETS))
+        each = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(len(data), 8 + len(RATES) * SUBSETS)
+        return cls(np.ascontiguousarray(each[:, :8]).view(">u8").ravel().astype(np.uint64), each[:, 8:].reshape(len(data), len(RATES), SUBSETS))
 
 
 def fingerprints(texts: list[str], lexicon: np.ndarray, least: int = LEAST) -> Fingerprints:
@@ -112,7 +112,7 @@ def fingerprints(texts: list[str], lexicon: np.ndarray, least: int = LEAST) -> F
     few = np.bincount(docs[kept], minlength=len(texts)) < least
     kept |= few[docs]
     docs, terms = docs[kept], terms[kept]
-    whole, parts = np.zeros(len(texts), dtype=np.uint64), np.zeros((len(texts), len(RATES), SUBSETS), dtype=np.uint16)
+    whole, parts = np.zeros(len(texts), dtype=np.uint64), np.zeros((len(texts), len(RATES), SUBSETS), dtype=np.uint8)
     some, hashes = set_hashes(docs, terms)
     whole[some] = hashes
     for i in np.flatnonzero(np.diff(words.first) == 0):
@@ -123,7 +123,7 @@ def fingerprints(texts: list[str], lexicon: np.ndarray, least: int = LEAST) -> F
             drawn = draw < np.uint64(rate)
             draw, inside, own = draw[drawn], inside[drawn], own[drawn]
             some, hashes = set_hashes(own, inside)
-            parts[some, r, s] = np.maximum(hashes >> np.uint64(48), np.uint64(1))
+            parts[some, r, s] = np.maximum(hashes >> np.uint64(56), np.uint64(1))
     return Fingerprints(whole, parts)
 
 
