@@ -6,6 +6,8 @@ the plan is made) or JSON texts (known per row).
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from enum import Enum
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from ..functions.arrow import arrow_udf
 from . import issues as I
 
 NAME = "schema"
@@ -195,6 +198,23 @@ class Typed:
         return F.filter(F.transform(self.column, lambda x, i: F.when(x.isNull() | ~item.fits(kind), F.struct(i.alias("at"), x.cast("string").alias("text")))), lambda x: x.isNotNull())
 
 
+#: Numbers that stand for those that JSON texts may have and a variant can't be parsed from.
+NO_JSON = {"NaN": -1.7976931348623131e308, "Infinity": 1.7976931348623157e308, "-Infinity": -1.7976931348623157e308}
+
+
+@arrow_udf("string")
+def _strict_json(values: pd.Series) -> pd.Series:
+    """JSON texts without repeated keys (the last one holds) and without numbers that aren't JSON; null for what is no JSON."""
+
+    def one(v):
+        try:
+            return json.dumps(json.loads(v, parse_constant=NO_JSON.__getitem__))
+        except (ValueError, TypeError, RecursionError):
+            return None
+
+    return values.map(one)
+
+
 class Json:
     """A value inside a parsed JSON text."""
 
@@ -203,7 +223,11 @@ class Json:
         self.shape = F.schema_of_variant(column)
 
     def child(self, name: str) -> Json:
-        return Json(F.variant_get(self.column, f"$['{name}']", "variant"))
+        for quote in "'\"":
+            if name and quote not in name and "?" not in name:
+                return Json(F.variant_get(self.column, f"$[{quote}{name}{quote}]", "variant"))
+        # No path can have such a name.
+        return Json(F.try_element_at(F.try_variant_get(self.column, "$", "map<string,variant>"), F.lit(name)))
 
     def names(self) -> Column:
         return F.when(self.shape.startswith("OBJECT"), F.array_distinct(F.coalesce(F.json_object_keys(F.to_json(self.column)), F.array().cast("array<string>"))))
@@ -235,10 +259,17 @@ class Json:
         return True
 
     def text(self) -> Column:
-        return F.coalesce(F.try_variant_get(self.column, "$", "string"), F.to_json(self.column))
+        plain, number = F.coalesce(F.try_variant_get(self.column, "$", "string"), F.to_json(self.column)), self._double()
+        for name, mark in NO_JSON.items():
+            plain = F.when(number == mark, name).otherwise(plain)
+        return plain
+
+    def _double(self) -> Column:
+        return F.when(self.shape == "DOUBLE", F.try_variant_get(self.column, "$", "double"))
 
     def number(self) -> Column:
-        return F.when(self.shape == "BOOLEAN", F.try_variant_get(self.column, "$", "boolean").cast("double")).otherwise(F.try_variant_get(self.column, "$", "double"))
+        whole = F.when(self.shape == "BOOLEAN", F.try_variant_get(self.column, "$", "boolean").cast("double")).otherwise(F.try_variant_get(self.column, "$", "double"))
+        return F.when(self._double() == NO_JSON["NaN"], F.lit(math.nan)).otherwise(whole)
 
     def type_name(self) -> Column:
         return F.lower(self.shape)
@@ -364,8 +395,10 @@ def validate_columns(df: DataFrame, schema: Schema, out: str = "result", data_id
 
 
 def validate_json(df: DataFrame, schema: Schema, json_col: str, out: str = "result", data_id: str | None = None) -> DataFrame:
-    """Checks JSON texts; what isn't a JSON object is INVALID_DATA_TYPE."""
-    df2 = df.withColumn("__variant", F.try_parse_json(json_col))
+    """Checks JSON texts; what isn't a JSON object is INVALID_DATA_TYPE. Of repeated keys the last one holds, and NaN and Infinity are numbers; only such texts go through Python."""
+    text, strict = F.col(json_col), F.try_parse_json(json_col)
+    odd = strict.isNull() & text.rlike(r"NaN|Infinity|[{\[]")
+    df2 = df.withColumn("__variant", F.when(odd, F.try_parse_json(_strict_json(F.when(odd, text)))).otherwise(strict))
     value = Json(F.col("__variant"))
     bad = F.array(_issue("INVALID_DATA_TYPE", "an object is expected", "")).cast(I.ISSUES)
     found = F.when(F.coalesce(value.shape.startswith("OBJECT"), F.lit(False)), issues_of(schema, value)).otherwise(bad)

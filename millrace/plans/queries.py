@@ -314,6 +314,23 @@ def schema_events_json(spark, sf_dir):
     return _schema_result(H.validate_json(spread(table(spark, sf_dir, "events")), rules, "props"), "event_id")
 
 
+#: JSON texts that only lenient parsers take: repeated keys, NaN; and arrays, other types, names with quotes.
+ODD_PROPS = """CASE CAST(event_id % 6 AS INT)
+  WHEN 0 THEN concat('{"k": 99, "k": ', k, '}') WHEN 1 THEN '{"k": NaN, "it''s": 5}' WHEN 2 THEN concat('[', k, ']')
+  WHEN 3 THEN concat('{"k": ', k, ', "z": NaN, "it''s": 1}') WHEN 4 THEN concat('{"k": "', k, '"}') ELSE props END"""
+
+
+@query("""
+SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'TYPE_MISMATCH@k' WHEN 2 THEN 'INVALID_DATA_TYPE@' WHEN 4 THEN 'TYPE_MISMATCH@k'
+  WHEN 3 THEN CASE WHEN k > 50 THEN 'VALUE_ABOVE_MAX@k,' ELSE '' END || 'VALUE_BELOW_MIN@it''s' ELSE CASE WHEN k > 50 THEN 'VALUE_ABOVE_MAX@k' ELSE '' END END AS codes,
+  CASE WHEN event_id % 6 IN (1, 2, 3, 4) OR k > 50 THEN 'failed' ELSE 'passed' END AS status
+FROM (SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events)""")
+def schema_events_lenient(spark, sf_dir):
+    rules = H.SchemaBuilder("props").add_integer("k", max_value=50).add_integer("it's", min_value=2, required=False).build()
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k")).withColumn("props", F.expr(ODD_PROPS.replace("''", "\\'")))
+    return _schema_result(H.validate_json(spread(events), rules, "props"), "event_id")
+
+
 @query("SELECT vec_id, CASE WHEN len(embedding) > 60 THEN 'TOO_MANY_ITEMS@embedding' ELSE '' END AS codes, CASE WHEN len(embedding) > 60 THEN 'failed' ELSE 'passed' END AS status FROM embeddings")
 def schema_list_items(spark, sf_dir):
     rules = H.SchemaBuilder("vectors").add_list("embedding", item_type=H.FieldType.FLOAT, min_items=1, max_items=60).build()
@@ -590,6 +607,6 @@ def text_measures(spark, sf_dir):
 
 
 # Registered on import.
-from . import check_queries, file_queries, media_queries  # noqa: E402
+from . import check_queries, file_queries, media_queries, stream_queries, time_queries  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "check_queries", "file_queries", "media_queries"]
+__all__ = ["ORACLES", "QUERIES", "check_queries", "file_queries", "media_queries", "stream_queries", "time_queries"]

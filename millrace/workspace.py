@@ -56,3 +56,23 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made, once all that is made of them is written too."""
     for df in tables:
         delete_path(df.sparkSession, df._millrace_path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file in any store, in place of what is there."""
+    fs, where = hadoop_path(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """What write_text() has put there; it is small."""
+    fs, where = hadoop_path(spark, path)
+    held = fs.open(where)
+    try:
+        return bytes(held.readAllBytes()).decode()
+    finally:
+        held.close()
