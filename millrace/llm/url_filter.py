@@ -30,7 +30,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}/" for name in BLOCKED_NAMES for top in ("com", "net", "org"))
 
-MAGIC = b"MRDIGST1"
+MAGIC = b"MRDIGST2"
 SEED = 42
 #: Bytes of a list's file, about, and of a list that every executor gets.
 PART_BYTES, LIST_BYTES = 64 << 20, 8 << 30
@@ -43,8 +43,9 @@ def pack(entries: Iterable[tuple[str, int]]) -> bytes:
     found = dict(entries)
     keyed = sorted((xxhash.xxh64_intdigest(s.encode(), SEED), s.encode(), v) for s, v in found.items())
     lengths = sorted({len(s.encode().partition(b"/")[2]) + 1 for s in found})
+    hosts = sorted({len(s.encode().partition(b"/")[0]) for s in found})
     ends = np.cumsum([0, *(len(s) for _, s, _ in keyed)], dtype=np.uint64)
-    head = np.array([len(keyed), len(lengths), *lengths], dtype=np.uint64)
+    head = np.array([len(keyed), len(lengths), len(hosts), *lengths, *hosts], dtype=np.uint64)
     return b"".join((MAGIC, head.tobytes(), np.array([k for k, _, _ in keyed], dtype=np.uint64).tobytes(), ends.tobytes(), np.array([v for _, _, v in keyed], dtype=np.uint8).tobytes(), *(s for _, s, _ in keyed)))
 
 
@@ -55,10 +56,12 @@ class DigestArray:
         data = np.memmap(source, dtype=np.uint8, mode="r") if isinstance(source, str) else np.frombuffer(source, dtype=np.uint8)
         if bytes(data[:8]) != MAGIC:
             raise ValueError("not a digest array")
-        n, m = (int(x) for x in data[8:24].view(np.uint64))
-        at = 24
+        n, m, k = (int(x) for x in data[8:32].view(np.uint64))
+        at = 32
         self.path_lengths = [int(x) for x in data[at : at + 8 * m].view(np.uint64)]
         at += 8 * m
+        self.host_lengths = [int(x) for x in data[at : at + 8 * k].view(np.uint64)]
+        at += 8 * k
         self.keys = data[at : at + 8 * n].view(np.uint64)
         at += 8 * n
         self.ends = data[at : at + 8 * (n + 1)].view(np.uint64)
@@ -85,6 +88,7 @@ class DigestRanges:
     def __init__(self, parts: list[DigestArray]):
         self.parts = parts
         self.path_lengths = sorted({n for p in parts for n in p.path_lengths})
+        self.host_lengths = sorted({n for p in parts for n in p.host_lengths})
 
     def find(self, probes: list[bytes]) -> np.ndarray:
         """The entry of each probe, or -1, numbered over all parts."""
@@ -107,8 +111,15 @@ def publish_table(spark: SparkSession, entries: DataFrame) -> list[str] | None:
     if size > LIST_BYTES:
         return None
     bits = max(0, (size // PART_BYTES).bit_length())
-    part = F.shiftrightunsigned(F.xxhash64("entry"), 64 - bits) if bits else F.lit(0)
-    return [publish(spark, pack((e, BLOCK) for e in entries.where(part == n).toArrow()["entry"].to_pylist())) for n in range(1 << bits)]
+    part = F.shiftrightunsigned(F.xxhash64("entry"), 64 - bits).cast("int") if bits else F.lit(0)
+    # One pass deals the entries out by range; the driver then reads one folder after another.
+    path = new_path(spark, "entries")
+    entries.select("entry", part.alias("part")).repartition(1 << bits, "part").write.partitionBy("part").parquet(path)
+    schema, files = "entry string, part int", []
+    for n in range(1 << bits):
+        mine = spark.read.schema(schema).parquet(path).where(F.col("part") == n)
+        files.append(publish(spark, pack((e, BLOCK) for e in mine.toArrow()["entry"].to_pylist())))
+    return files
 
 
 def publish(spark: SparkSession, packed: bytes) -> str:
@@ -135,11 +146,12 @@ def parts(url: str | None) -> tuple[bytes, bytes]:
     return host.translate(bytes.maketrans(UPPER, LOWER)), slash + path
 
 
-def candidates(host: bytes, path: bytes, path_lengths: list[int]) -> list[bytes]:
-    """What an entry that fits could be: the host and each domain above it, with each prefix of the path as long as some entry's."""
-    if not host:
+def candidates(host: bytes, path: bytes, host_lengths: list[int], path_lengths: list[int]) -> list[bytes]:
+    """What an entry that fits could be: the host and each domain above it that is as long as some entry's, with each prefix of the path as long as some entry's."""
+    size = len(host)
+    if not size:
         return []
-    hosts = [host, *(host[i + 1 :] for i, c in enumerate(host) if c == 46)]
+    hosts = [host[size - n :] for n in host_lengths if n == size or (n < size and host[size - n - 1] == 46)]
     return [h + path[:n] for h in hosts for n in path_lengths if n <= len(path)]
 
 
@@ -148,7 +160,7 @@ def match(urls: list[str | None], digests: DigestArray | DigestRanges) -> list[t
     split = [parts(u) for u in urls]
     probes, owner = [], []
     for i, (host, path) in enumerate(split):
-        own = candidates(host, path, digests.path_lengths)
+        own = candidates(host, path, digests.host_lengths, digests.path_lengths)
         probes += own
         owner += [i] * len(own)
     best: dict[int, tuple[tuple[int, int], int]] = {}
@@ -166,14 +178,15 @@ def block_table(spark: SparkSession, blocked: Iterable[str] = BLOCKED_HOSTS) ->
 
 def listed_by_join(pages: DataFrame, url_col: str, entries: DataFrame) -> DataFrame:
     """Distinct URLs (__mr_url) with the entry that fits best (__mr_listed), for lists of any size: the URLs' candidates are joined with the entries."""
-    lengths = [r.n for r in entries.select((F.octet_length(F.regexp_extract("entry", "(?s)/(.*)$", 1)) + 1).alias("n")).distinct().collect()]  # lengths of paths, not entries
+    length = lambda pattern: F.octet_length(F.regexp_extract("entry", pattern, 1))
+    hosts, lengths = (sorted(r.n for r in entries.select(n.alias("n")).distinct().collect()) for n in (length("(?s)^([^/]*)"), length("(?s)/(.*)$") + 1))  # lengths, not entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for url in batch.column(0).to_pylist():
                 host, path = parts(url)
-                found = {h.decode() for h in candidates(host, path, lengths) if _whole(h)}
+                found = {h.decode() for h in candidates(host, path, hosts, lengths) if _whole(h)}
                 rows += [(url, c, len(c.encode()), len(c.encode().partition(b"/")[0])) for c in found]
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("url", pa.string()), ("entry", pa.string()), ("n", pa.int64()), ("host", pa.int64())))})
 
