@@ -93,8 +93,8 @@ def windows_of(benchmark: DataFrame, item_col: str, text_col: str, size: int) ->
     return written(each.groupBy("window", "size").agg(F.collect_set("item").alias("items")), "windows")
 
 
-def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block: int) -> Iterator[Index]:
-    """The distinct windows in blocks of about `block`, one after another; a block is all that the driver holds."""
+def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block: int) -> Iterator[tuple[Index, bool]]:
+    """The distinct windows in blocks of about `block`, one after another, and whether there are several; a block is all that the driver holds if its caller is done with it before the next."""
     windows = windows_of(benchmark, item_col, text_col, size)
     blocks = -(-windows.count() // block)
     for n in range(blocks):
@@ -103,7 +103,7 @@ def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int,
             texts = found["window"].to_pylist()
             words = words_of([t.decode("utf-8", "surrogateescape") for t in texts])
             hashes = [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(texts))]
-            yield Index(texts, found["size"].to_pylist(), [set(i) for i in found["items"].to_pylist()], hashes)
+            yield Index(texts, found["size"].to_pylist(), [set(i) for i in found["items"].to_pylist()], hashes), blocks > 1
 
 
 def steps_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
@@ -141,8 +141,8 @@ def rarity(docs: DataFrame, text_col: str, index: Index, width: int) -> dict[int
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(probe.keys[some].view(np.int64)), pa.array(totals[w][some])], names=["shingle", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-    return {r.shingle & 0xFFFFFFFFFFFFFFFF: r.n for r in rows}
+    table = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(table["shingle"].to_numpy().view(np.uint64).tolist(), table["n"].to_pylist(), strict=True))
 
 
 def prefix_join(counts: dict[int, int], index: Index, width: int) -> dict[int, tuple]:
@@ -247,7 +247,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Extra columns are ignored. An empty benchmark gives no hits, an empty table
     no rows.
     """
-    found = [find_block(docs, id_col, text_col, index, shingle) for index in window_blocks(benchmark, item_col, item_text_col, window, block)]
+    found = []
+    for index, several in window_blocks(benchmark, item_col, item_text_col, window, block):
+        hits = find_block(docs, id_col, text_col, index, shingle)
+        # Of several blocks each is done with, here and on the executors, before the next is fetched.
+        found.append(written(hits, "hits") if several else hits)
     if not found:
         found = [find_block(docs, id_col, text_col, Index(), shingle)]
     if len(found) == 1:
@@ -264,6 +268,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK_WINDOWS) -> DataFrame:
     """docs, with all columns, without the rows in which a benchmark window occurs; texts are not shuffled. Nulls and empty tables as for decontaminate."""
-    for n, index in enumerate(window_blocks(benchmark, item_col, item_text_col, window, block)):
+    for n, (index, _) in enumerate(window_blocks(benchmark, item_col, item_text_col, window, block)):
         docs = drop_block(written(docs, "decontaminated") if n else docs, text_col, index, shingle)
     return docs

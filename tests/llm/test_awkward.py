@@ -408,3 +408,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.columns == second.columns == third.columns == fourth.columns
     last = corpus_pipeline.STAGES[4][1](spark, fourth, sf).collect()
     assert len(last) == sum(copies.values())
+
+
+def test_urls_of_any_length(spark):
+    hosts = [("net", "block"), ("x.net", "block"), ("a." * 500_000 + "example.com", "allow"), ("." * 1_000_000, "allow"), ("." * 1_000_000 + "net", "block"), ("", "allow")]
+    rows = [(i, f"http://{h}/p?q") for i, (h, _) in enumerate(hosts)] + [(97, None), (98, ""), (99, "no scheme"), (1, "http://x.net/p?q"), (None, "HTTP://X.ORG/fr/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").select("*", *[F.lit("x").alias(c) for c in ("host", "path", "entry", "verdict", "part")])
+    found = url_filter.filter_urls(pages)
+    assert sorted(((r.page_id, r.verdict) for r in found.collect()), key=str) == sorted([(i, v) for i, (_, v) in enumerate(hosts)] + [(97, "allow"), (98, "allow"), (99, "allow"), (1, "block"), (None, "allow")], key=str)
+    assert url_filter.filter_urls(pages.where("page_id < 0")).collect() == []
+
+
+def test_a_block_of_windows_is_written_before_the_next_is_fetched(spark, monkeypatch):
+    """Where the benchmark takes several blocks, hits of one are in a table before another is read."""
+    order = []
+    blocks, write = decontaminate.window_blocks, decontaminate.written
+
+    def noted(*given):
+        for found in blocks(*given):
+            order.append("block")
+            yield found
+
+    def noted_write(df, label):
+        order.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(decontaminate, "window_blocks", noted)
+    monkeypatch.setattr(decontaminate, "written", noted_write)
+    docs, items = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    several = decontaminate.decontaminate(docs, items, block=600)
+    assert order[0] == "windows" and len(order) > 4 and order[1:] == ["block", "hits"] * (len(order) // 2)
+    columns = ("doc_id", "n_words", "n_hit", "items", "hit_words")
+    one = decontaminate.decontaminate(docs, items)
+    key = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert key(several) == key(one)
