@@ -13,23 +13,36 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..workspace import written
 
 RANGE = "__range"
 
 
+def digest_of(df: DataFrame) -> Column:
+    """A number of a row's contents that splits rows of equal keys over ranges. It is the same whenever a row is computed again, which a random number is not if a lost executor's rows come back in another order."""
+
+    def hashable(kind: S.DataType) -> bool:
+        if isinstance(kind, S.StructType):
+            return all(hashable(f.dataType) for f in kind.fields)
+        return hashable(kind.elementType) if isinstance(kind, S.ArrayType) else not isinstance(kind, S.MapType | S.VariantType)
+
+    return F.xxhash64(F.lit(0), *[F.col(f"`{f.name}`") for f in df.schema if hashable(f.dataType)])
+
+
 class Ranged:
     """A table in ranges of `keys` and `order` (columns of it; nulls first), written to the shared folder.
 
     Rows that are equal in both are in the order of the `ties` columns, and in
-    any order where these are equal too. An empty table has no ranges.
+    any order where these are equal too. Rows of one key and place are split by
+    their contents; only rows that are equal in all stay together. An empty
+    table has no ranges.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], ties: Sequence[str] = ()):
         self.keys, self.order = list(keys), [*order, *ties]
-        # The random number splits rows that are equal in all; it decides nothing else.
-        dealt = df.repartitionByRange(*self.keys, *self.order, F.rand(11))
+        dealt = df.repartitionByRange(*self.keys, *self.order, digest_of(df))
         self.table = written(dealt.withColumn(RANGE, F.spark_partition_id()), "ranges")
         self.within = Window.partitionBy(RANGE, *self.keys).orderBy(*self.order)
         self._split: DataFrame | None = None

@@ -13,6 +13,7 @@ from pyspark.sql import types as S
 
 from ..functions import text as T
 from ..workspace import written
+from .ordered import digest_of
 
 #: A vocabulary of up to so many bytes goes to every executor; a larger one is joined.
 LOOKUP_BYTES = 64 << 20
@@ -55,7 +56,8 @@ def build_vocabulary(df: DataFrame, tokens: str = "tokens", order: str = "ord",
     seen = seen.select("token", _first_place(df, tokens, order).alias("place"))
     counted = seen.groupBy("token").agg(F.count("*").alias("freq"), F.min("place").alias("first")).where(F.col("freq") >= min_freq)
     ranked = number_rows(counted, [F.desc("freq"), F.asc("first"), F.asc("token")], "n")
-    found = ranked.select("token", (F.col("n") + len(T.SPECIAL_TOKENS)).cast("long").alias("id"), "freq")
+    # Written, as it is read twice.
+    found = written(ranked.select("token", (F.col("n") + len(T.SPECIAL_TOKENS)).cast("long").alias("id"), "freq"), "vocabulary")
     special = spark.createDataFrame([(t, i, 0) for i, t in enumerate(T.SPECIAL_TOKENS)], "token string, id long, freq long")
     return special.join(found.select("token"), "token", "left_anti").unionByName(found)
 
@@ -63,8 +65,10 @@ def build_vocabulary(df: DataFrame, tokens: str = "tokens", order: str = "ord",
 def _first_place(df: DataFrame, tokens: str, order: str) -> Column:
     """ord and pos as one number where they fit into one (Spark aggregates numbers by hash, structs by sorting), else as a struct."""
     if isinstance(df.schema[order].dataType, S.IntegralType):
-        high, low, longest = df.agg(F.max(order), F.min(order), F.max(F.size(tokens))).first()
-        bits = max(longest or 0, 1).bit_length()
+        high, low = df.agg(F.max(order), F.min(order)).first()  # of the order alone: the tokens aren't made for it
+        bits = 31  # an array has no more places
+        if max(abs(high or 0), abs(low or 0)) >= 1 << 31:
+            bits = max(df.agg(F.max(F.size(tokens))).first()[0] or 0, 1).bit_length()
         if max(abs(high or 0), abs(low or 0)) < 1 << (62 - bits):
             # A null order comes first, as it does in a struct.
             return F.when(F.col("ord").isNull(), F.lit(-(1 << 62)) + F.col("pos")).otherwise(F.col("ord").cast("long") * F.lit(1 << bits) + F.col("pos"))
@@ -73,7 +77,8 @@ def _first_place(df: DataFrame, tokens: str, order: str) -> Column:
 
 def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Numbers all rows from 0 in a total order, range by range: a row's number is that in its range and the sizes of the ranges before. The ranges are written, as another run could draw them elsewhere."""
-    ranged = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    # Rows that are equal in the order have any of their numbers, so they needn't be in one range.
+    ranged = written(df.repartitionByRange(*order, digest_of(df)).withColumn("__range", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("__range").orderBy(*order)
     numbered = ranged.withColumn("__n", F.row_number().over(within) - 1)
     sizes = ranged.groupBy("__range").count()

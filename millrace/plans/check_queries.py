@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import issues as I
-from ..operators import sampling
 from ..operators import text_validators as V
 from ..operators import images
 from ..session import spread, table
-from .pipeline import Chain, Pipeline, PipelineConfig, content_key
+from ..workspace import written
+from .pipeline import Pipeline, PipelineConfig, content_key
 from .registry import query
 
 
@@ -92,14 +92,18 @@ def validate_samples(spark, sf_dir):
     return pipeline.validate(pipeline.validate(done, "image", "image_valid"), "audio", "audio_valid").select("vec_id", "text_valid", "image_valid", "audio_valid")
 
 
-@query("SELECT 'image,text' AS modalities, 'log' AS error_handling, 1 AS kept, 0 AS cleared, true AS text_on, false AS video_on")
+@query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 4 = 0) AS failed, 'image,text' AS modalities, 'log' AS error_handling, 1 AS kept, 0 AS cleared FROM documents GROUP BY lang")
 def pipeline_facts(spark, sf_dir):
+    """A kept result, read once for its rows and once for its errors, with what the pipeline says of itself before and after it is cleared."""
     pipeline = Pipeline(PipelineConfig(error_handling="log"))
-    pipeline.keep(table(spark, sf_dir, "region"))
+    samples = table(spark, sf_dir, "documents").select("lang", F.when(F.col("doc_id") % 4 == 0, " \n").otherwise(F.col("text")).alias("text"))
+    done = pipeline.keep(pipeline.process(samples, "text").select("lang", "error"))
+    rows = done.groupBy("lang").agg(F.count("*").alias("n"))
+    failed = done.where("error IS NOT NULL").groupBy("lang").agg(F.count("*").alias("failed"))
+    found = written(rows.join(failed, "lang", "left").na.fill(0, ["failed"]), "facts")
     facts = pipeline.statistics()
     pipeline.clear()
-    row = (",".join(sorted(facts["modalities"])), facts["error_handling"], facts["kept"], pipeline.statistics()["kept"], pipeline.processor("text") is not None, pipeline.processor("video") is not None)
-    return spark.createDataFrame([row], "modalities string, error_handling string, kept int, cleared int, text_on boolean, video_on boolean")
+    return found.select("*", F.lit(",".join(sorted(facts["modalities"]))).alias("modalities"), F.lit(facts["error_handling"]).alias("error_handling"), F.lit(facts["kept"]).alias("kept"), F.lit(pipeline.statistics()["kept"]).alias("cleared"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'not a text, or blank' END AS error FROM documents")
@@ -109,17 +113,15 @@ def pipeline_errors(spark, sf_dir):
     return Pipeline(PipelineConfig(image=None, error_handling="log")).process_all(samples)["text"].select("doc_id", "error")
 
 
-@query("SELECT 'operations' AS name, 0 AS n UNION ALL SELECT 'unknown tokenizer', 1 UNION ALL SELECT 'unknown modality', 1 UNION ALL SELECT 'batch of nothing', 1 UNION ALL SELECT 'negative workers', 1")
+@query("SELECT setting, count(*) AS n, setting NOT IN ('word', 'whitespace') AS refused FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'word' WHEN 'F' THEN 'whitespace' ELSE o_orderpriority END AS setting FROM orders) GROUP BY setting")
 def refused_settings(spark, sf_dir):
-    """What is wrong is refused when the plan is made."""
-    chain = Chain().add(lambda df: df)
-    chain.clear()
-    rows = [("operations", len(chain.operations))]
-    regions = table(spark, sf_dir, "region")
-    for what, run in (("unknown tokenizer", lambda: T.tokenize(F.col("r_name"), "other")), ("unknown modality", lambda: Pipeline().process(regions, "smell")), ("batch of nothing", lambda: sampling.check_settings(0)), ("negative workers", lambda: sampling.check_settings(1, -1))):
+    """Names of tokenizers out of a table: those that are unknown are refused when a plan is made, not when it runs."""
+    named = F.when(F.col("o_orderstatus") == "O", "word").when(F.col("o_orderstatus") == "F", "whitespace").otherwise(F.col("o_orderpriority"))
+    counts = written(table(spark, sf_dir, "orders").groupBy(named.alias("setting")).agg(F.count("*").alias("n")), "settings")
+    refused = []
+    for r in counts.select("setting").collect():  # a handful of names
         try:
-            run()
-            rows.append((what, 0))
+            T.tokenize(F.col("setting"), r.setting)
         except ValueError:
-            rows.append((what, 1))
-    return spark.createDataFrame(rows, "name string, n int")
+            refused.append(r.setting)
+    return counts.withColumn("refused", F.col("setting").isin(refused))

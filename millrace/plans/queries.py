@@ -243,6 +243,28 @@ def validate_json(spark, sf_dir):
     return found.select("event_id", F.col("result.status").alias("status"), fact("json_type").alias("json_type"), fact("json_keys").cast("long").alias("json_keys"))
 
 
+#: An event's number as JSON texts of all kinds, and as texts that are none.
+JSON_KINDS = """CASE CAST(event_id % 9 AS INT) WHEN 0 THEN concat('[', k, ', 2, null]') WHEN 1 THEN CAST(k AS STRING) WHEN 2 THEN concat('"', k, '"') WHEN 3 THEN 'true' WHEN 4 THEN concat('{"k": ', k)
+  WHEN 5 THEN concat('{"k": ', k, ', "k": NaN}') WHEN 6 THEN concat(k, '.5') WHEN 7 THEN 'null' ELSE props END"""
+
+
+@query("""SELECT event_id, CASE event_id % 9 WHEN 4 THEN 'failed' ELSE 'passed' END AS status, CASE event_id % 9 WHEN 0 THEN 'list' WHEN 1 THEN 'int' WHEN 2 THEN 'str' WHEN 3 THEN 'bool' WHEN 5 THEN 'dict' WHEN 6 THEN 'float' WHEN 7 THEN 'NoneType' WHEN 8 THEN 'dict' END AS json_type,
+CAST(CASE WHEN event_id % 9 IN (5, 8) THEN 1 END AS BIGINT) AS json_keys FROM events""")
+def validate_json_kinds(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k")).withColumn("made", F.expr(JSON_KINDS))
+    fact = lambda k: F.element_at("result.metadata", k)
+    return V.validate_format(spread(events), "json", text_col="made").select("event_id", F.col("result.status").alias("status"), fact("json_type").alias("json_type"), fact("json_keys").cast("long").alias("json_keys"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ITEM_TYPE_MISMATCH@items[1],ITEM_TYPE_MISMATCH@items[2],ITEM_TYPE_MISMATCH@items[3]' WHEN 1 THEN 'TOO_FEW_ITEMS@items' ELSE 'TYPE_MISMATCH@items' END AS codes, 'failed' AS status FROM events WHERE event_id % 4 > 0
+UNION ALL SELECT event_id, '', 'passed' FROM events WHERE event_id % 4 = 0""")
+def schema_json_items(spark, sf_dir):
+    """Lists in JSON texts: items of other types, too few of them, no list, and good ones."""
+    made = """CASE WHEN event_id % 4 = 0 THEN '{"items": [1, 2, 3]}' WHEN event_id % 3 = 0 THEN concat('{"items": [', event_id, ', "x", null, 2.5]}') WHEN event_id % 3 = 1 THEN '{"items": [7]}' ELSE concat('{"items": ', props, '}') END"""
+    rules = H.SchemaBuilder("list").add_list("items", item_type=H.FieldType.INTEGER, min_items=2).build()
+    return _schema_result(H.validate_json(spread(table(spark, sf_dir, "events").withColumn("made", F.expr(made))), rules, "made"), "event_id")
+
+
 @query("SELECT page_id, CASE WHEN page_id % 4 IN (1, 3) THEN 'failed' ELSE 'passed' END AS status, CASE WHEN page_id % 4 IN (1, 3) THEN 'INVALID_XML' ELSE 'VALID_XML' END AS code, CASE page_id % 4 WHEN 0 THEN '{urn:p}page' WHEN 2 THEN 'p' || page_id END AS root FROM pages")
 def validate_xml(spark, sf_dir):
     """Each page's URL in XML with a namespace, in XML without, without an end, and as it is."""
@@ -353,6 +375,22 @@ def schema_strict(spark, sf_dir):
     return _schema_result(H.validate_columns(table(spark, sf_dir, "customer"), rules), "c_custkey")
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'CUSTOM_VALIDATION_FAILED@c_name' WHEN 2 THEN 'CUSTOM_VALIDATION_FAILED@c_name' WHEN 3 THEN 'CUSTOM_VALIDATOR_ERROR@c_name' ELSE '' END AS codes, CASE c_custkey % 4 WHEN 1 THEN 'c_name fails its check' WHEN 2 THEN 'two' WHEN 3 THEN 'three' END AS message, CASE WHEN c_custkey % 4 > 0 THEN 'failed' ELSE 'passed' END AS status FROM customer""")
+def schema_python_check(spark, sf_dir):
+    """A check in Python: it passes, says no, says why, or fails itself, by the number in a customer's name."""
+
+    def check(name):
+        rest = int(name.rsplit("#", 1)[1]) % 4
+        if rest == 3:
+            raise RuntimeError("three")
+        return "two" if rest == 2 else rest == 0
+
+    rules = H.SchemaBuilder("customer").add_string("c_name", python_check=check).build()
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Customer#"), F.col("c_custkey").cast("string")).alias("c_name"))
+    found = H.validate_columns(spread(customers), rules, columns=["c_name"])
+    return _schema_result(found.withColumn("key", F.struct("c_custkey", F.get("result.issues", F.lit(0))["message"].alias("message"))), "key").select("key.*", "status", "codes")
+
+
 # Sources and samples.
 
 MODALITY = "CASE " + " ".join(f"WHEN suffix IN ({', '.join(repr(e) for e in own)}) THEN '{m}'" for m, own in catalog.EXTENSIONS.items()) + " END"
@@ -607,6 +645,6 @@ def text_measures(spark, sf_dir):
 
 
 # Registered on import.
-from . import check_queries, file_queries, media_queries, stream_queries, time_queries  # noqa: E402
+from . import check_queries, file_queries, group_queries, media_queries, stream_queries, time_queries  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "check_queries", "file_queries", "media_queries", "stream_queries", "time_queries"]
+__all__ = ["ORACLES", "QUERIES", "check_queries", "file_queries", "group_queries", "media_queries", "stream_queries", "time_queries"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -102,16 +103,67 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def missing_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row (path, error) for each path that is no file and no folder."""
+    return spark.createDataFrame([(p, "not there") for p in paths if not exists(spark, p)], "path string, error string")
+
+
 def read_csvs(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Several CSVs by column name: missing columns are null, files that can't be read are left out. No file: an empty frame without columns."""
-    found = None
-    for path in paths:
-        try:
-            part = read_csv(spark, path, **options)
-        except Exception:  # an unreadable file doesn't end the batch
-            continue
-        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
-    return found if found is not None else spark.range(0).drop("id")
+    """Several CSVs by column name: missing columns are null, paths that aren't there are left out (missing_files() names them). No file: an empty frame without columns.
+
+    One pass reads the headers, and files of equal headers are one layout; one
+    scan then reads all files, whatever their layouts, and picks a column's
+    values by layout. Types come from a schema, if one is given, or else from one
+    more pass over all values. Headers are one line each, of a name once.
+    """
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return spark.range(0).drop("id")
+    given = {k: v for k, v in options.items() if k not in ("schema", "inferSchema", "header")}
+    lines = spark.read.text(there).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
+    heads = lines.where("start = 0").groupBy("path").agg(F.min(F.struct("n", "value"))["value"].alias("head"))
+    heads = heads.withColumn("head", F.regexp_replace("head", "^\ufeff", ""))
+    layouts = [r.head for r in heads.select("head").distinct().orderBy("head").collect()]  # one for each layout, not each file
+    names = {head: _header(head, given) for head in layouts}
+    wide = max((len(n) for n in names.values()), default=0)
+    if not wide:
+        return spark.range(0).drop("id")
+    plain = ", ".join(f"_c{i} string" for i in range(wide))
+    rows = spark.read.options(**given, header=True, enforceSchema=True).csv(there, schema=plain).select("*", F.col("_metadata.file_path").alias("__path"))
+    numbered = F.array_position(F.array(*[F.lit(h) for h in layouts]), F.col("head")).cast("int")
+    rows = rows.join(heads.select(F.col("path").alias("__path"), numbered.alias("__layout")), "__path")
+    columns = list(dict.fromkeys(c for n in names.values() for c in n))
+
+    def picked(name: str) -> Column:
+        found = F.lit(None).cast("string")
+        for i, head in enumerate(layouts, 1):
+            if name in names[head]:
+                found = F.when(F.col("__layout") == i, F.col(f"_c{names[head].index(name)}")).otherwise(found)
+        return found.alias(name)
+
+    rows = rows.select(*[picked(c) for c in columns])
+    types = options["schema"] if "schema" in options else _types(rows)
+    fields = types if isinstance(types, dict) else {f.name: f.dataType.simpleString() for f in (spark.createDataFrame([], types).schema if isinstance(types, str) else types)}
+    return rows.select(*[(F.col(f"`{c}`") if c in columns else F.lit(None)).try_cast(kind).alias(c) for c, kind in fields.items()])
+
+
+def _header(head: str, options: dict) -> list[str]:
+    """Names in a header line."""
+    return next(csv.reader([head], delimiter=options.get("sep", options.get("delimiter", ",")), quotechar=options.get("quote", '"')), [])
+
+
+#: Types that a column of texts can have, narrowest first.
+KINDS = (("int", r"^[+-]?\d{1,10}$"), ("bigint", r"^[+-]?\d{1,19}$"), ("double", r"^[^ ].*$"), ("date", r"^\d{4}-\d{2}-\d{2}$"), ("timestamp", r"^\d{4}-\d{2}-\d{2}[ T].+$"), ("boolean", r"(?i)^(true|false)$"))
+
+
+def _types(rows: DataFrame) -> dict[str, str]:
+    """The narrowest type that all values of each column have; one aggregation."""
+
+    def fits(value: Column, kind: str, pattern: str) -> Column:
+        return F.coalesce(F.bool_and(F.when(value.isNotNull(), value.rlike(pattern) & value.try_cast(kind).isNotNull())), F.lit(False))
+
+    found = rows.agg(*[fits(F.col(f"`{c}`"), kind, pattern).alias(f"{i}_{kind}") for i, c in enumerate(rows.columns) for kind, pattern in KINDS]).first()
+    return {c: next((kind for kind, _ in KINDS if found[f"{i}_{kind}"]), "string") for i, c in enumerate(rows.columns)}
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

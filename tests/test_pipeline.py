@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import streaming
+from millrace.functions import text as T
 from millrace.functions.text import TextConfig
-from millrace.operators import images
+from millrace.operators import images, sampling
 from millrace.plans.pipeline import Chain, Pipeline, PipelineConfig, content_key
 
 PNG = images.encode_png(np.zeros((4, 4, 3), np.uint8))
@@ -74,3 +75,10 @@ def test_streams(spark, tmp_path):
     assert cleaned.count() == events.count()
     counts = run(streaming.token_counts(stream.select(F.col("event_type").alias("text"))), "complete", "tokens")
     assert counts.agg(F.sum("count")).first()[0] == events.count()
+
+
+def test_settings_are_refused_when_the_plan_is_made(spark):
+    df = spark.createDataFrame([("a",)], "text string")
+    for run in (lambda: T.tokenize(F.col("text"), "other"), lambda: Pipeline().process(df, "smell"), lambda: sampling.check_settings(0), lambda: sampling.check_settings(1, -1)):
+        with pytest.raises(ValueError):
+            run()
