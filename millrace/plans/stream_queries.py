@@ -90,7 +90,7 @@ def changed_store(spark: SparkSession, sf_dir: str) -> KeyedTable:
     rows = table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 3 == 0, 0).otherwise(F.col("conv_id")).alias("session"), "conv_id", "turn", "role", "text")
     store = KeyedTable(spark, new_path(spark, "conversations"), S.StructType.fromDDL(CONVERSATION), ["session", "conv_id", "turn"], "version", buckets=32)
     store.upsert(rows.withColumn("version", F.lit(2)))
-    edited = rows.where(F.col("conv_id") % 4 == 0).withColumns({"text": F.upper("text"), "version": F.lit(3)})
+    edited = rows.where(F.col("conv_id") % 4 == 0).withColumns({"text": F.concat(F.lit("edited: "), F.col("text")), "version": F.lit(3)})
     stale = rows.where(F.col("conv_id") % 5 == 0).withColumns({"text": F.lit("older"), "version": F.lit(1)})
     store.upsert(edited.unionByName(stale))
     store.delete(rows.where((F.col("conv_id") % 6 == 1) & (F.col("turn") > 1)).withColumn("version", F.lit(4)))
@@ -104,7 +104,7 @@ STORE_SQL = """
 c AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS session, conv_id, turn, role, text FROM conversations),
 v AS (
   SELECT *, 2 AS version, false AS gone FROM c
-  UNION ALL SELECT session, conv_id, turn, role, upper(text), 3, false FROM c WHERE conv_id % 4 = 0
+  UNION ALL SELECT session, conv_id, turn, role, 'edited: ' || text, 3, false FROM c WHERE conv_id % 4 = 0
   UNION ALL SELECT session, conv_id, turn, role, 'older', 1, false FROM c WHERE conv_id % 5 = 0
   UNION ALL SELECT session, conv_id, turn, role, text, 4, true FROM c WHERE conv_id % 6 = 1 AND turn > 1
   UNION ALL SELECT session, conv_id, turn + 100, role, text, 5, false FROM c WHERE conv_id % 10 = 3
