@@ -17,6 +17,8 @@ from .ordered import digest_of
 
 #: A vocabulary of up to so many bytes goes to every executor; a larger one is joined.
 LOOKUP_BYTES = 64 << 20
+#: Tokens that are counted at a time.
+COUNTED = 1 << 21
 
 
 def clean(df: DataFrame, text_col: str = "text", config: T.TextConfig | None = None, out: str = "cleaned") -> DataFrame:
@@ -51,10 +53,14 @@ def build_vocabulary(df: DataFrame, tokens: str = "tokens", order: str = "ord",
     vocabulary, so that no task holds all of it.
     """
     spark = df.sparkSession
-    # Outer, as Spark would otherwise derive a filter on the tokens and compute them twice.
-    seen = df.select(F.col(order).alias("ord"), F.posexplode_outer(tokens).alias("pos", "token")).where(F.col("token").isNotNull())
-    seen = seen.select("token", _first_place(df, tokens, order).alias("place"))
-    counted = seen.groupBy("token").agg(F.count("*").alias("freq"), F.min("place").alias("first")).where(F.col("freq") >= min_freq)
+    bits = _place_bits(df, tokens, order)
+    if bits:
+        counted = _counted_in_batches(df, tokens, order, bits).groupBy("token").agg(F.sum("freq").alias("freq"), F.min("first").alias("first"))
+    else:
+        # Outer, as Spark would otherwise derive a filter on the tokens and compute them twice.
+        seen = df.select(F.col(order).alias("ord"), F.posexplode_outer(tokens).alias("pos", "token")).where(F.col("token").isNotNull())
+        counted = seen.groupBy("token").agg(F.count("*").alias("freq"), F.min(F.struct("ord", "pos")).alias("first"))
+    counted = counted.where(F.col("freq") >= min_freq)
     ranked = number_rows(counted, [F.desc("freq"), F.asc("first"), F.asc("token")], "n")
     # Written, as it is read twice.
     found = written(ranked.select("token", (F.col("n") + len(T.SPECIAL_TOKENS)).cast("long").alias("id"), "freq"), "vocabulary")
@@ -62,17 +68,42 @@ def build_vocabulary(df: DataFrame, tokens: str = "tokens", order: str = "ord",
     return special.join(found.select("token"), "token", "left_anti").unionByName(found)
 
 
-def _first_place(df: DataFrame, tokens: str, order: str) -> Column:
-    """ord and pos as one number where they fit into one (Spark aggregates numbers by hash, structs by sorting), else as a struct."""
-    if isinstance(df.schema[order].dataType, S.IntegralType):
-        high, low = df.agg(F.max(order), F.min(order)).first()  # of the order alone: the tokens aren't made for it
-        bits = 31  # an array has no more places
-        if max(abs(high or 0), abs(low or 0)) >= 1 << 31:
-            bits = max(df.agg(F.max(F.size(tokens))).first()[0] or 0, 1).bit_length()
-        if max(abs(high or 0), abs(low or 0)) < 1 << (62 - bits):
-            # A null order comes first, as it does in a struct.
-            return F.when(F.col("ord").isNull(), F.lit(-(1 << 62)) + F.col("pos")).otherwise(F.col("ord").cast("long") * F.lit(1 << bits) + F.col("pos"))
-    return F.struct("ord", "pos")
+def _place_bits(df: DataFrame, tokens: str, order: str) -> int:
+    """How many bits a token's place needs beside its row's order, if both fit into one number; else 0."""
+    if not isinstance(df.schema[order].dataType, S.IntegralType):
+        return 0
+    high, low = df.agg(F.max(order), F.min(order)).first()  # of the order alone: the tokens aren't made for it
+    bits, largest = 31, max(abs(high or 0), abs(low or 0))  # an array has no more places
+    if largest >= 1 << 31:
+        bits = max(df.agg(F.max(F.size(tokens))).first()[0] or 0, 1).bit_length()
+    return bits if largest < 1 << (62 - bits) else 0
+
+
+def _counted_in_batches(df: DataFrame, tokens: str, order: str, bits: int) -> DataFrame:
+    """Tokens of some rows each, with their number (freq) and their smallest place (first): tokens become rows once they are counted. A null order comes first, as it does in a struct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            steps, at = np.cumsum(lengths) // COUNTED, 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(steps, steps[at], "right")))
+                yield counted(batch.slice(at, end - at), lengths[at:end])
+                at = end
+
+    def counted(batch: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch:
+        place = batch.column(0).cast(pa.int64())
+        base = np.where(place.is_null().to_numpy(zero_copy_only=False), -(1 << 62), pc.fill_null(place, 0).to_numpy(zero_copy_only=False) << bits)
+        places = np.repeat(base - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        coded = batch.column(1).flatten().dictionary_encode()
+        codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+        codes, places = codes[codes >= 0], places[codes >= 0]
+        first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(first, codes, places)
+        freq = np.bincount(codes, minlength=len(first))
+        return pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(freq, pa.int64()), pa.array(first)], names=["token", "freq", "first"])
+
+    return df.select(order, tokens).mapInArrow(run, "token string, freq long, first long")
 
 
 def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:

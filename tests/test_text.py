@@ -158,3 +158,20 @@ def test_vocabulary_of_any_order(spark):
 def test_statistics_of_nothing(spark):
     row = text.statistics(spark.createDataFrame([], "text string")).first()
     assert (row.total_texts, row.avg_length, row.vocabulary_size) == (0, 0.0, 0)
+
+
+def test_vocabulary_counts_alike_in_batches_and_in_rows(spark, monkeypatch):
+    """Orders that fit into one number with a place, others, and null ones; a token that is null; few tokens at a time."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, i]), [rng.choice(["a", "b", "c", "dd", None, "<PAD>"]) for _ in range(rng.randrange(6))] if i % 9 else None) for i in range(80)]
+    small = spark.createDataFrame(rows, "ord long, tokens array<string>").repartition(3)
+    found = lambda df: sorted(map(tuple, text.build_vocabulary(df, min_freq=2).collect()))
+    monkeypatch.setattr(text, "COUNTED", 7)
+    assert text._place_bits(small, "tokens", "ord") == 31
+    expected = found(small.select(F.col("ord").cast("double").alias("ord"), "tokens"))
+    assert found(small) == expected and len(expected) > 4
+    large = small.withColumn("ord", F.col("ord") + F.lit(1 << 58))
+    assert text._place_bits(large, "tokens", "ord") == 3 and found(large) == expected
+    assert found(small.where("false")) == found(small.where("ord < 0"))
