@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import arrow_udf
+from ..functions.arrow import arrow_udf, row_udf
 from ..functions.tensor import PIXEL_RANGES, frame_indices
 from . import images
 
@@ -157,22 +157,18 @@ def process(df: DataFrame, config: VideoConfig | None = None, content: str = "co
     config = config or VideoConfig()
     chosen = select_frames(df.withColumn("__h", header(F.col(content))).withColumn("__n", F.col("__h.frames")).withColumn("__fps", F.col("__h.fps")), config, "__n", "__fps", key, "__indices")
 
-    @F.pandas_udf(images.OUT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for contents, indices in batches:
-            rows = []
-            for data, wanted in zip(contents, indices, strict=True):
-                try:
-                    frames, _ = decode(data)
-                    if wanted is None or not len(wanted):
-                        raise ValueError("no frames")
-                    stack = np.stack([process_frame(frames[int(i)], config) for i in wanted])  # numbers come as floats where other rows have none
-                    stack = np.transpose(stack, (3, 0, 1, 2)) if config.layout == "cthw" else stack
-                    rows.append((list(stack.shape), stack.ravel(), None))
-                except Exception as error:  # the row's own failure
-                    rows.append((None, None, str(error) or type(error).__name__))
-            yield pd.DataFrame(rows, columns=["shape", "data", "error"])
+    def one(data: bytes | None, wanted: list[int] | None) -> tuple:
+        try:
+            frames, _ = decode(data)
+            if not wanted:
+                raise ValueError("no frames")
+            stack = np.stack([process_frame(frames[i], config) for i in wanted])
+            stack = np.transpose(stack, (3, 0, 1, 2)) if config.layout == "cthw" else stack
+            return list(stack.shape), stack.ravel(), None
+        except Exception as error:  # the row's own failure
+            return None, None, str(error) or type(error).__name__
 
+    run = row_udf(images.OUT, images.OUT_KIND, one, images.data_size)
     return chosen.withColumn(out, run(F.col(content), F.col("__indices"))).drop("__h", "__n", "__fps", "__indices")
 
 

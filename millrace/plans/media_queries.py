@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions.arrow import row_udf
 from ..operators import audio, images, video
 from ..session import spread, table
 from .registry import query
@@ -14,10 +16,7 @@ from .registry import query
 def _made(spark, sf_dir, one):
     """A file for each vector; `one` makes it of the vector's id."""
 
-    @F.pandas_udf("binary")
-    def made(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda i: one(int(i)))
-
+    made = row_udf("binary", pa.binary(), one, len)
     return spread(table(spark, sf_dir, "embeddings")).select("vec_id", F.col("vec_id").alias("id"), made(F.col("vec_id")).alias("content"))
 
 

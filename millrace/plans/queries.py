@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tensor
 from ..functions import text as T
+from ..functions.arrow import row_udf
 from ..operators import audio, images, issues, sampling, text, video
 from ..operators import schema_rules as H
 from ..operators import text_validators as V
@@ -566,19 +567,16 @@ def mono_mix(spark, sf_dir):
 
 
 def _media(spark, sf_dir, kind):
-    @F.pandas_udf("binary")
-    def made(values: pd.Series) -> pd.Series:
-        def one(v):
-            v = np.asarray(v, dtype=np.float64)
-            grey = (np.abs(np.floor(v * 1000)) % 256).astype(np.uint8).reshape(8, 8, 1)
-            if kind == "image":
-                return images.encode_png(grey)
-            if kind == "audio":
-                return audio.encode_wav(np.sin(np.cumsum(np.repeat(0.2 + np.abs(v) / 4, 100))).astype(np.float32) * 0.5, 8000)
-            return video.encode_y4m(np.stack([np.roll(grey, k, axis=0).repeat(3, axis=2) for k in range(4)]))
-
-        return values.map(one)
-
+    def one(v):
+        v = np.asarray(v, dtype=np.float64)
+        grey = (np.abs(np.floor(v * 1000)) % 256).astype(np.uint8).reshape(8, 8, 1)
+        if kind == "image":
+            return images.encode_png(grey)
+        if kind == "audio":
+            return audio.encode_wav(np.sin(np.cumsum(np.repeat(0.2 + np.abs(v) / 4, 100))).astype(np.float32) * 0.5, 8000)
+        return video.encode_y4m(np.stack([np.roll(grey, k, axis=0).repeat(3, axis=2) for k in range(4)]))
+
+    made = row_udf("binary", pa.binary(), one, len)
     return vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), made(F.col("embedding")).alias("content"))
 
 

@@ -1,10 +1,11 @@
 """Media by analytic signals and round trips."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import tensor
+from millrace.functions import arrow, tensor
 from millrace.operators import audio, images, video
 
 RATE = 16_000
@@ -158,3 +159,18 @@ def test_tensor_functions(spark):
     assert df.select(tensor.mean_channel(F.col("v"), 2)).first()[0] == [-1.0, 0.5]
     with pytest.raises(ValueError):
         tensor.normalize_pixels(F.col("v"), "other")
+
+
+def test_results_of_a_batch_go_back_in_parts():
+    """A batch of many rows is never held with all that it becomes."""
+    batch = pa.array([b"x"] * 1000)
+    made = lambda data: ([1000], np.zeros(100_000, np.float32), None)
+    parts = list(arrow.in_parts((batch,), made, images.data_size, images.OUT_KIND))
+    assert sum(map(len, parts)) == 1000 and max(p.nbytes for p in parts) < 2 * arrow.HELD
+
+
+def test_rows_of_several_parts(spark):
+    """Rows keep their own results where these go back in parts, failures and nulls among them."""
+    run = arrow.row_udf("binary", pa.binary(), lambda i: None if i % 7 == 0 else bytes(1 << 20) + str(i).encode(), lambda x: len(x or b""))
+    found = {r.id: r.tail for r in spark.range(100).coalesce(1).withColumn("made", run(F.col("id"))).select("id", F.expr("CAST(substring(made, 1048577) AS STRING)").alias("tail")).collect()}
+    assert found == {i: None if i % 7 == 0 else str(i) for i in range(100)}
