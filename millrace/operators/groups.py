@@ -26,6 +26,19 @@ def summaries(df: DataFrame, sets: Sequence[Sequence[str]], measures: Sequence[C
     return grouped.agg(F.grouping_id().cast("int").alias("grouping"), *measures)
 
 
+def totals(df: DataFrame, sets: Sequence[Sequence[str]], sums: Sequence[str], distinct: str, n: str = "n", out: str = "distinct") -> DataFrame:
+    """summaries() of the number of rows (n), sums of integers (under their names) and the number of distinct values of a column (out).
+
+    Rows are first summed by all columns and the distinct one, and only these
+    sums are multiplied by the sets, so that a task's hash table has a row for
+    each of them that its input holds, whatever the number of sets.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    cells = df.groupBy(*columns, F.col(distinct).alias("__distinct")).agg(F.count("*").alias("__n"), *[F.sum(c).alias(c) for c in sums])
+    measures = [F.sum("__n").alias(n), *[F.sum(c).alias(c) for c in sums], F.count_distinct("__distinct").alias(out)]
+    return summaries(cells, sets, measures)
+
+
 def crossed(df: DataFrame, by: str, across: str, values: Sequence[str], measure: Column) -> DataFrame:
     """A row for each value of `by` with a column for each of the given values of `across`; 0 where there are no rows."""
     return df.groupBy(by).pivot(across, list(values)).agg(measure).na.fill(0, list(values))

@@ -25,7 +25,7 @@ def lineitem_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("shipped"), "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     dims = ("l_returnflag", "l_linestatus", "shipped")
     sets = [[d for i, d in enumerate(dims) if not bits >> (2 - i) & 1] for bits in range(8)]
-    return groups.summaries(rows, sets, [F.count("*").alias("n"), F.sum("cents").alias("cents"), F.count_distinct("l_suppkey").alias("suppliers")])
+    return groups.totals(rows, sets, ["cents"], "l_suppkey", out="suppliers")
 
 
 @query("SELECT user_id, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS view, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS error FROM events GROUP BY user_id")

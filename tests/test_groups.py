@@ -33,6 +33,18 @@ def test_summaries(spark, n):
     assert Counter((r.grouping, r.k, r.j, r.n, r["values"]) for r in found) == expected
 
 
+@pytest.mark.parametrize("n", [0, 300])
+def test_totals_are_summaries(spark, n):
+    """Counts, sums and distinct counts of cells are those of rows; the sets multiply cells, not rows."""
+    df = spark.createDataFrame(rows_of(n), "k string, j int, v double").withColumn("c", (F.hash("v", "k") % 50).cast("long"))
+    sets = [c for r in range(3) for c in combinations(("k", "j"), r)]
+    wanted = groups.summaries(df, sets, [F.count("*").alias("n"), F.sum("c").alias("c"), F.count_distinct("v").alias("values")])
+    found = groups.totals(df, sets, ["c"], "v", out="values")
+    assert found.columns == wanted.columns and found.dtypes == wanted.dtypes
+    assert Counter(found.collect()) == Counter(wanted.collect())
+    assert "__n" in found._jdf.queryExecution().optimizedPlan().toString().split("Expand")[1]
+
+
 @pytest.mark.parametrize(("n", "accuracy"), [(0, 100), (1, 100), (3, 100), (700, 10), (700, 1000)])
 def test_quantiles(spark, n, accuracy):
     rows = rows_of(n, 2)
