@@ -403,11 +403,19 @@ class _Out:
 
     def __init__(self):
         self.rows: list[tuple] = []
+        self.spans: dict[tuple, list[int]] = {}
         self.size = 0
         self.recent = Recent()
 
     def known(self, row: tuple, first: int, last: int) -> None:
-        self.rows.append((*row, None, None, None, None, [first, last], KNOWN))
+        """A document's stretches go on as one row; those that touch are one."""
+        own = self.spans.setdefault(row, [])
+        if own and own[-2] <= first <= own[-1] + 1:
+            own[-1] = max(own[-1], last)
+        elif own and own[-2] <= last + 1 <= own[-1] + 1:
+            own[-2] = min(own[-2], first)
+        else:
+            own += [first, last]
 
     def add(self, row: tuple, route: int, at: int, place: int, data: bytes, kind: str = PLAIN) -> None:
         """Surroundings that begin at `at`; all windows of equal ones repeat, and one of them goes on."""
@@ -423,7 +431,9 @@ class _Out:
         first.clear()  # it is known now
 
     def take(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        if len(self.rows) > least or self.size > least << 10:
+        if len(self.rows) + len(self.spans) > least or self.size > least << 10:
+            self.rows += [(*row, None, None, None, None, own, KNOWN) for row, own in self.spans.items()]
+            self.spans = {}
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows, strict=True), self.KINDS, strict=True)], names=list(self.NAMES))
             self.rows, self.size = [], 0
 

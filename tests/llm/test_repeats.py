@@ -90,3 +90,16 @@ def test_op9_suffix_dedup(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     expected = {i: (len((t or "").encode()), len((t or "").encode()) - len(k), n, hashlib.sha256(k).hexdigest()) for (i, t), (k, n) in zip(docs.items(), kept(docs.values()), strict=True)}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op9_suffix_dedup(spark, SF).collect()} == expected
+
+
+def test_stretches_of_a_document_go_on_as_one_row():
+    """A passage that many documents quote is cut into pieces; those that are known to repeat make a row for each document, not for each piece."""
+    out = suffix_dedup._Out()
+    data = np.random.default_rng(3).integers(97, 123, 1000).astype(np.uint8).tobytes()
+    for doc in range(500):
+        for first in (0, 64, 48, 32, 16, 600):
+            out.add((str(doc), 0, 0), first, first, 0, data[first : first + 215])
+    (batch,) = out.take()
+    known = [r for r in batch.to_pylist() if r["kind"] == suffix_dedup.KNOWN]
+    assert len(known) == 500 and batch.num_rows == 506
+    assert all(sorted(zip(r["ranges"][::2], r["ranges"][1::2], strict=True)) == [(0, 15), (16, 79), (600, 615)] for r in known)
