@@ -17,8 +17,8 @@ from .ordered import digest_of
 
 #: A vocabulary of up to so many bytes goes to every executor; a larger one is joined.
 LOOKUP_BYTES = 64 << 20
-#: Tokens that are counted at a time.
-COUNTED = 1 << 21
+#: Tokens that are counted, and that are looked up, at a time.
+COUNTED, TAKEN = 1 << 21, 1 << 20
 
 
 def clean(df: DataFrame, text_col: str = "text", config: T.TextConfig | None = None, out: str = "cleaned") -> DataFrame:
@@ -84,12 +84,8 @@ def _counted_in_batches(df: DataFrame, tokens: str, order: str, bits: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            steps, at = np.cumsum(lengths) // COUNTED, 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(steps, steps[at], "right")))
-                yield counted(batch.slice(at, end - at), lengths[at:end])
-                at = end
+            for part, lengths in _parts(batch, COUNTED):
+                yield counted(part, lengths)
 
     def counted(batch: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch:
         place = batch.column(0).cast(pa.int64())
@@ -106,6 +102,16 @@ def _counted_in_batches(df: DataFrame, tokens: str, order: str, bits: int) -> Da
     return df.select(order, tokens).mapInArrow(run, "token string, freq long, first long")
 
 
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of about `most` values of the lists in the second column at a time, and the lengths of their lists."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    steps, at = np.cumsum(lengths) // most, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(steps, steps[at], "right")))
+        yield batch.slice(at, end - at), lengths[at:end]
+        at = end
+
+
 def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Numbers all rows from 0 in a total order, range by range: a row's number is that in its range and the sizes of the ranges before. The ranges are written, as another run could draw them elsewhere."""
     # Rows that are equal in the order have any of their numbers, so they needn't be in one range.
@@ -161,9 +167,8 @@ def _looked_up(df: DataFrame, pairs: DataFrame, key: str, values: str, missing:
         known = pa.ipc.open_stream(sent.value).read_all()
         keys, targets = (known[c].combine_chunks() for c in ("keys", "targets"))
         last = len(keys) - 1  # the one for what is unknown
-        for batch in batches:
+        for batch, lengths in (p for b in batches for p in _parts(b, TAKEN)):
             lists = batch.column(1)
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             # Distinct values are looked up once each.
             coded = lists.flatten().cast(keys.type).dictionary_encode()
             place = pc.fill_null(pc.index_in(coded.dictionary, keys.slice(0, last)), last).to_numpy(zero_copy_only=False)

@@ -3,6 +3,7 @@
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -175,3 +176,22 @@ def test_vocabulary_counts_alike_in_batches_and_in_rows(spark, monkeypatch):
     large = small.withColumn("ord", F.col("ord") + F.lit(1 << 58))
     assert text._place_bits(large, "tokens", "ord") == 3 and found(large) == expected
     assert found(small.where("false")) == found(small.where("ord < 0"))
+
+
+def test_tokens_are_looked_up_in_parts(spark, monkeypatch):
+    """A batch of many documents is not looked up at once, and its rows keep their own tokens."""
+    rows = [(i, None if i % 5 == 0 else [f"t{(i * j) % 11}" for j in range(i % 7)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "ord long, tokens array<string>").coalesce(1)
+    vocabulary = text.build_vocabulary(df, min_freq=2).localCheckpoint()
+    sizes = lambda: df_sizes(text.encode(df, vocabulary, "ord"))
+    whole = sizes()
+    monkeypatch.setattr(text, "TAKEN", 10)
+    assert sizes() == whole and list(map(len, (p for p, _ in text._parts(batch_of(rows), 10))))[0] < len(rows)
+
+
+def df_sizes(found):
+    return {r.ord: r.ids for r in found.collect()}
+
+
+def batch_of(rows):
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows], pa.list_(pa.string()))], names=["ord", "tokens"])
