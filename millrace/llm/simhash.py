@@ -85,7 +85,8 @@ def close_pairs(nodes: DataFrame, distance: int = 2) -> DataFrame:
         raise ValueError("the grid has cells for up to 2 differing bits")
     placed = nodes.select("fingerprint", segment_counts(F.col("fingerprint")).alias("counts")).select("fingerprint", "counts", F.explode(cells(F.col("counts"))).alias("cell"))
     placed = placed.select("cell", "fingerprint")
-    a, b = placed.alias("a"), placed.alias("b")
+    # Spark takes the exploded rows for as few as the fingerprints, and would broadcast them through the driver.
+    a, b = placed.hint("merge").alias("a"), placed.hint("merge").alias("b")
     # Points with equal counts share all their cells; they meet in their own only.
     once = (segment_counts(F.col("a.fingerprint")) != segment_counts(F.col("b.fingerprint"))) | (F.col("a.cell") == segment_counts(F.col("a.fingerprint")))
     near = F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))) <= distance
