@@ -143,13 +143,77 @@ def _mapped(df: DataFrame, vocabulary: DataFrame, key: str, values: str, source:
     size = pairs.agg(F.sum(F.octet_length(text) + 16)).first()[0] or 0
     if size <= LOOKUP_BYTES:
         return _looked_up(df, pairs, key, values, missing, out)
-    # Rows get numbers of their own, as keys may repeat; written, as another run could number them otherwise.
-    rows = written(df.select(F.col(key), F.col(values).alias("__values"), F.monotonically_increasing_id().alias("__row")), "rows")
-    each = rows.select("__row", F.posexplode("__values").alias("__pos", "__value"))
-    met = each.join(pairs, "__value", "left").select("__row", F.struct("__pos", F.coalesce("__target", missing).alias("__target")).alias("__item"))
-    grouped = met.groupBy("__row").agg(F.array_sort(F.collect_list("__item")).alias("__items"))
-    none = F.array().cast(S.ArrayType(pairs.schema["__target"].dataType))
-    return rows.join(grouped, "__row", "left").select(key, F.coalesce(F.transform("__items", lambda x: x["__target"]), none).alias(out))
+    return _joined(df, pairs, key, values, missing, out)
+
+
+def _joined(df: DataFrame, pairs: DataFrame, key: str, values: str, missing: Column, out: str) -> DataFrame:
+    """_mapped() by a join: not of all values, but of the distinct ones of about TAKEN at a time, a block; what is found meets the rows of its block again, which hold places in the block for values.
+
+    A task holds one block's targets besides a batch. Blocks are written, as
+    another run could cut them otherwise.
+    """
+    spark = df.sparkSession
+    key_type, value_type, target_type = (t.simpleString() for t in (df.schema[key].dataType, df.schema[values].dataType.elementType, pairs.schema["__target"].dataType))
+    unknown = spark.range(1).select(missing.alias("m")).first().m
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each row, with places, and one for each distinct value of a block."""
+        names, n = [key, "__codes", "__block", "__place", "__value"], 0
+        for batch, lengths in (p for b in batches for p in _parts(b, TAKEN)):
+            found = batch.column(1).flatten().dictionary_encode()
+            block, n = (batch.column(2)[0].as_py() << 33) + n, n + 1
+            codes = pa.ListArray.from_arrays(_ends(lengths), pc.fill_null(found.indices, -1).cast(pa.int32()))
+            of = lambda size: pa.array(np.full(size, block))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes, of(batch.num_rows), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, found.dictionary.type)], names=names)
+            size = len(found.dictionary)
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, batch.column(0).type), pa.nulls(size, codes.type), of(size), pa.array(np.arange(size, dtype=np.int32)), found.dictionary], names=names)
+
+    schema = f"`{key}` {key_type}, __codes array<int>, __block long, __place int, __value {value_type}"
+    blocks = written(df.select(key, values, F.spark_partition_id().cast("long")).mapInArrow(coded, schema), "blocks", "zstd")
+    found = blocks.where("__place IS NOT NULL").join(pairs, "__value").select("__block", "__place", "__target", F.lit(None).cast(key_type).alias(key), F.lit(None).cast("array<int>").alias("__codes"))
+    rows = blocks.where("__place IS NULL").select("__block", "__place", F.lit(None).cast(target_type).alias("__target"), key, "__codes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Targets of a block come before its rows.
+    met = found.unionByName(rows).repartition(parts, "__block").sortWithinPartitions("__block", F.col("__place").isNull())
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, places, targets, known = None, [], [], None
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                if numbers[start] != block:
+                    block, places, targets, known = numbers[start], [], [], None
+                part = batch.slice(start, end - start)
+                n = len(part) - part.column(1).null_count
+                if n:
+                    places.append(part.column(1).slice(0, n).to_numpy())
+                    # A copy, as a slice would keep its batch.
+                    targets.append(part.column(2).take(pa.array(np.arange(n))))
+                part = part.slice(n)
+                if not len(part):
+                    continue
+                if known is None:
+                    at = np.concatenate([*places, np.zeros(0, dtype=np.int32)])
+                    last = len(at)
+                    place = np.full(int(at.max(initial=-1)) + 2, last)
+                    place[at] = np.arange(last)
+                    kind = part.column(2).type
+                    known, places, targets = pa.concat_arrays([*targets, pa.array([unknown], kind)]), [], []
+                codes = part.column(4).flatten().to_numpy()
+                taken = known.take(pa.array(place[np.where((codes < 0) | (codes >= len(place)), len(place) - 1, codes)]))
+                yield pa.RecordBatch.from_arrays([part.column(3), pa.ListArray.from_arrays(_ends(pc.list_value_length(part.column(4)).to_numpy()), taken)], names=[key, out])
+
+    result = met.mapInArrow(told, S.StructType([df.schema[key], S.StructField(out, S.ArrayType(pairs.schema["__target"].dataType))]))
+    result._millrace_path = blocks._millrace_path  # for discard(), once the result is written
+    return result
+
+
+def _ends(lengths: np.ndarray) -> pa.Array:
+    """Where lists of these lengths begin and end."""
+    return pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
 
 
 def _looked_up(df: DataFrame, pairs: DataFrame, key: str, values: str, missing: Column, out: str) -> DataFrame:
@@ -174,8 +238,7 @@ def _looked_up(df: DataFrame, pairs: DataFrame, key: str, values: str, missing:
             place = pc.fill_null(pc.index_in(coded.dictionary, keys.slice(0, last)), last).to_numpy(zero_copy_only=False)
             codes = pc.fill_null(coded.indices, len(place)).to_numpy(zero_copy_only=False)
             taken = targets.take(pa.array(np.append(place, last)[codes]))
-            ends = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, taken)], names=[key, out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(_ends(lengths), taken)], names=[key, out])
 
     return df.select(key, values).mapInArrow(run, kinds)
 

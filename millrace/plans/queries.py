@@ -15,7 +15,7 @@ from ..operators import schema_rules as H
 from ..operators import text_validators as V
 from ..session import spread, table
 from ..sources import catalog, storage
-from ..workspace import new_path, written
+from ..workspace import discard, new_path, written
 from .pipeline import Chain, Pipeline, PipelineConfig
 from .registry import ORACLES, QUERIES, query
 
@@ -110,7 +110,7 @@ v AS (SELECT token, row_number() OVER (ORDER BY freq DESC, first) + 3 AS id, fre
 
 def _tokenized(spark, sf_dir):
     """Tokens are used several times: written, they are computed once."""
-    return written(text.preprocess(docs(spark, sf_dir)).select(F.col("doc_id").alias("ord"), "tokens"), "tokens")
+    return written(text.preprocess(docs(spark, sf_dir)).select(F.col("doc_id").alias("ord"), "tokens"), "tokens", "zstd")
 
 
 @query(VOCABULARY + " SELECT token, CAST(id AS BIGINT) AS id, CAST(freq AS BIGINT) AS freq FROM v")
@@ -129,7 +129,12 @@ def text_encode(spark, sf_dir):
 def text_decode(spark, sf_dir):
     tokens = _tokenized(spark, sf_dir)
     vocabulary = text.build_vocabulary(tokens, min_freq=2)
-    found = text.decode(text.encode(tokens, vocabulary, "ord"), vocabulary, "ord")
+    encoded = text.encode(tokens, vocabulary, "ord")
+    ids = written(encoded, "ids", "zstd")
+    discard(tokens)
+    if hasattr(encoded, "_millrace_path"):  # made of blocks, as the vocabulary is large
+        discard(encoded)
+    found = text.decode(ids, vocabulary, "ord")
     return found.select("ord", F.array_join("tokens", " ").alias("joined"))
 
 

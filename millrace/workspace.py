@@ -43,10 +43,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(where, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors. Without a compression it is the session's."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._millrace_path = path
     return found
